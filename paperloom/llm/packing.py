@@ -146,4 +146,4 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, ids: bool =
         if rows:
             yield from packed(pa.Table.from_batches(held), base)[0].to_batches(max_chunksize=10_000)
 
-    return dealt.mapInArrow(run, T.StructType(dealt.schema.fields).add("sequence_id", "long").add("offset", "long"))
+    return dealt.mapInArrow(run, T.StructType(list(dealt.schema.fields)).add("sequence_id", "long").add("offset", "long"))
