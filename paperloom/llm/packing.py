@@ -27,7 +27,7 @@ from .pretokens import Coder
 from .shared import chunked, text_of
 
 SIZE, END = 1024, 0
-#: Pieces packed together by a task.
+#: Pieces packed together by a task; with their ids, a 64th of it.
 BLOCK = 1 << 20
 
 
@@ -139,7 +139,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, ids: bool =
         base, held, rows = TaskContext.get().partitionId() << 40, [], 0
         for batch in batches:
             held, rows = [*held, batch], rows + batch.num_rows
-            if rows >= BLOCK >> (4 * ids):
+            if rows >= BLOCK >> (6 * ids):
                 out, base = packed(pa.Table.from_batches(held), base)
                 held, rows = [], 0
                 yield from out.to_batches(max_chunksize=10_000)
