@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .pretokens import Coder
-from .shared import chunked, text_of
+from .shared import CODED_BYTES, chunked, text_of
 
 NONE = np.int32(2**31 - 1)
 #: Widths of the matrices; a longer pre-token is merged alone, with a heap, in the same order.
@@ -197,7 +197,7 @@ def encode(docs: DataFrame, path: str | None = None, columns: tuple[str, ...] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, code = model(path)
-        for batch in chunked(batches, "text"):
+        for batch in chunked(batches, "text", CODED_BYTES):
             flat, first = code(batch.column("text"))
             digits, digit_at = bpe.decimal(flat)
             decoded, byte_at = bpe.spelled(flat)

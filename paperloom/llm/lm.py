@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,17 +42,18 @@ def _classes(text: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _counts(docs: DataFrame, bits: int) -> DataFrame:
-    """(kind, slice, classes, counts): partial counts of target and background, sparse and in order."""
+    """(kind, slice, low, over, more): partial counts of target and background; a byte for each class, and what is over 255."""
 
     def sent(table: np.ndarray, kind: int) -> Iterator[dict]:
-        for s, part in enumerate(np.array_split(table, SLICES)):
-            at = np.flatnonzero(part)
-            if len(at):
-                yield {"kind": kind, "slice": s, "classes": at.astype(np.int32).tobytes(), "counts": part[at].astype(np.uint32).tobytes()}
+        small = np.minimum(table, 255).astype(np.uint8)
+        for s, (part, low) in enumerate(zip(np.array_split(table, SLICES), np.array_split(small, SLICES), strict=True)):
+            over = np.flatnonzero(part >= 255)
+            if low.any():
+                yield {"kind": kind, "slice": s, "low": zstandard.compress(low.tobytes(), 1), "over": over.astype(np.int32).tobytes(), "more": (part[over] - 255).astype(np.int64).tobytes()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [np.zeros(1 << b, np.int64) for b in (bits, bits, bits - 2, bits - 2)]
-        schema = pa.schema([("kind", pa.int32()), ("slice", pa.int32()), ("classes", pa.binary()), ("counts", pa.binary())])
+        schema = pa.schema([("kind", pa.int32()), ("slice", pa.int32()), ("low", pa.binary()), ("over", pa.binary()), ("more", pa.binary())])
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -74,7 +76,7 @@ def _counts(docs: DataFrame, bits: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.select("target", "text").mapInArrow(run, "kind int, slice int, classes binary, counts binary")
+    return docs.select("target", "text").mapInArrow(run, "kind int, slice int, low binary, over binary, more binary")
 
 
 def _summed(parts: DataFrame, bits: int) -> DataFrame:
@@ -86,7 +88,8 @@ def _summed(parts: DataFrame, bits: int) -> DataFrame:
             for r in batch.to_pylist():
                 size = 1 << (bits if r["kind"] < 2 else bits - 2)
                 table = sums.setdefault((r["kind"], r["slice"]), np.zeros(size // SLICES, np.int64))
-                table[np.frombuffer(r["classes"], np.int32)] += np.frombuffer(r["counts"], np.uint32)
+                table += np.frombuffer(zstandard.decompress(r["low"]), np.uint8)
+                table[np.frombuffer(r["over"], np.int32)] += np.frombuffer(r["more"], np.int64)
         for (kind, s), table in sums.items():
             yield pa.RecordBatch.from_pylist([{"kind": kind, "slice": s, "sums": np.minimum(table, 2**32 - 1).astype(np.uint32).tobytes()}], pa.schema([("kind", pa.int32()), ("slice", pa.int32()), ("sums", pa.binary())]))
 
@@ -134,7 +137,7 @@ def score(docs: DataFrame, target: DataFrame, *columns: str, bits: int = BITS) -
     empty results.
     """
     good = target.select("doc_id").where("doc_id is not null").distinct().withColumn("_good", F.lit(True))
-    marked = docs.select("doc_id", *columns, F.col("text").cast("binary").alias("text")).join(good, "doc_id", "left").withColumn("target", F.coalesce("_good", F.lit(False))).drop("_good")
+    marked = docs.select("doc_id", *columns, F.col("text").cast("binary").alias("text")).join(good.hint("shuffle_hash"), "doc_id", "left").withColumn("target", F.coalesce("_good", F.lit(False))).drop("_good")
     tables = learn(marked, bits)
     totals = int(tables[2].sum(dtype=np.int64)), int(tables[3].sum(dtype=np.int64))
     sent = docs.sparkSession.sparkContext.broadcast(tables)  # 10 * 2**bits bytes, whatever the input

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .pretokens import Coder
-from .shared import chunked, text_of
+from .shared import CODED_BYTES, chunked, text_of
 
 SIZE, END = 1024, 0
 #: Pieces packed together by a task; with their ids, a 64th of it.
@@ -97,7 +97,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, ids: bool = False) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path)
-        for batch in chunked(batches, "text"):
+        for batch in chunked(batches, "text", CODED_BYTES):
             flat, first = code(batch.column("text"))
             if not batch.num_rows:
                 continue

@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a kernel handles at once; a longer document is handled alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: The same where distinct pre-tokens are coded once for each piece.
+CODED_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
