@@ -10,13 +10,14 @@ distribution alone, so that chance counts say nothing.  The log-likelihood ratio
 document, divided by the root of its length, as chance grows, is mapped to a probability
 by a logistic fit on documents that the fitted models had not seen.
 
-The models are learnt on the driver from at most ``per_class`` labelled documents of each
+The models are learnt in one task from at most ``per_class`` labelled documents of each
 class, as many of one as of the other (those of least hash), so their size is bounded;
 every document is scored, whole.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -91,7 +92,13 @@ class Sample:
     """Labelled texts as distinct tokens and bigrams, and the documents that hold them."""
 
     def __init__(self, text: pa.Array, toxic: np.ndarray):
-        stream, pairs, before, self.rows = tokens(text)
+        parts, first_row = [], 0
+        for piece in chunked(iter([pa.RecordBatch.from_arrays([text], names=["text"])]), "text"):
+            *found, rows = tokens(piece.column("text"))
+            parts.append((*found, (rows + first_row).astype(np.int32)))
+            first_row += piece.num_rows
+        stream, pairs, before, self.rows = map(np.concatenate, zip(*parts, strict=True))
+        del parts
         self.toxic = toxic.astype(bool)
         self.names, self.token_of = np.unique(stream, return_inverse=True)
         self.keys, first, self.pair_of = np.unique(pairs, return_index=True, return_inverse=True)
@@ -158,10 +165,18 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     most = min(per_class, *(max(1, n.get(c, 0)) for c in (0, 1)))
     picked = [marked.where(F.col("toxic") == c).withColumn("h", F.xxhash64(F.col("doc_id").cast("string"))).orderBy("h", "doc_id").limit(most) for c in (0, 1)]
     ids = F.broadcast(picked[0].union(picked[1]))  # at most 2 * per_class rows
-    rows = text_of(docs, "doc_id").join(ids, "doc_id").select("text", "toxic", "h").toArrow()
-    order = np.argsort(np.asarray(rows.column("h")), kind="stable")
-    rows = rows.take(pa.array(order))
-    return fit(rows.column("text").combine_chunks(), np.asarray(rows.column("toxic"), dtype=np.int64), min(max(share, 1e-6), 1 - 1e-6)) if rows.num_rows else None, share
+    rows = text_of(docs, "doc_id").join(ids, "doc_id").select("text", "toxic", "h")
+    prior = min(max(share, 1e-6), 1 - 1e-6)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := [b for b in batches if b.num_rows]:
+            table = pa.Table.from_batches(held)
+            table = table.take(pa.array(np.argsort(np.asarray(table.column("h")), kind="stable")))
+            model = fit(table.column("text").combine_chunks(), np.asarray(table.column("toxic"), dtype=np.int64), prior)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    found = rows.repartition(1).mapInArrow(run, "model binary").collect()  # one row, from a bounded sample
+    return (pickle.loads(found[0]["model"]) if found else None), share
 
 
 def score(docs: DataFrame, labels: DataFrame, *columns: str, per_class: int = PER_CLASS, threshold: float = THRESHOLD, keep_text: bool = False) -> DataFrame:
