@@ -103,6 +103,10 @@ class Lexer:
 
     def _string(self) -> bytes:
         d, at, n, depth, out = self.data, self.at + 1, len(self.data), 1, bytearray()
+        end = d.find(b")", at)
+        if end >= 0 and not any(x in d[at:end] for x in (b"\\", b"(", b"\r")):  # the common case, at once
+            self.at = end + 1
+            return d[at:end]
         plain = {0x6E: 10, 0x72: 13, 0x74: 9, 0x62: 8, 0x66: 12}
         while at < n:
             c = d[at]
