@@ -131,7 +131,8 @@ def _search(name: str, sql: str, ignore_case: bool, whole: bool) -> None:
 
 _search("search_cs", "contains(text, needle)", False, False)
 _search("search_ci", "contains(lower(text), lower(needle))", True, False)
-_search("search_whole_word", "regexp_matches(lower(text), '(^|[^\\p{L}\\p{Nd}])' || lower(needle) || '($|[^\\p{L}\\p{Nd}])')", True, True)
+_search("search_whole_word", "", True, True)
+ORACLES["search_whole_word"] = _WORDS + " UNION ALL ".join(f"SELECT '{n}' AS needle, count(*) AS n_words, count(DISTINCT doc_id) AS n_docs FROM placed WHERE regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{Nd}}]){n.lower()}($|[^\\p{{L}}\\p{{Nd}}])') HAVING count(*) > 0" for n in NEEDLES)
 
 
 @query("SELECT p_partkey, p_size, CASE WHEN p_size > 0 THEN repeat('m', p_size // 1000) || ['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'][p_size // 100 % 10 + 1] || ['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'][p_size // 10 % 10 + 1] || ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][p_size % 10 + 1] ELSE '' END AS label, p_size AS back FROM part")
@@ -206,7 +207,7 @@ def fn_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Programs on r, g and b, and the SQL of their values.
 PROGRAMS = {
-    "add_sub_mul": ("{ 3 1 roll add 2 mul exch sub }", "b - (r + g) * 2"),
+    "add_sub_mul": ("{ 3 1 roll add 2 mul exch sub }", "(r + g) * 2 - b"),
     "div_abs_neg": ("{ pop pop 2 div neg abs 0.25 add }", "r / 2 + 0.25"),
     "sqrt_exp": ("{ exch pop exch pop sqrt 3 exp }", "pow(sqrt(b), 3)"),
     "sin_cos": ("{ 90 mul sin exch 90 mul cos add exch pop }", "sin(radians(b * 90)) + cos(radians(g * 90))"),
@@ -215,7 +216,7 @@ PROGRAMS = {
     "rounding": ("{ 10 mul round exch 10 mul floor add exch 10 mul ceiling add 30 div }", "(round(b * 10) + floor(g * 10) + ceil(r * 10)) / 30"),
     "truncate_cvi": ("{ 50 mul cvi 7 mod exch 50 mul truncate add exch pop 100 div }", "(trunc(b * 50)::BIGINT % 7 + trunc(g * 50)) / 100"),
     "idiv_bits": ("{ 50 mul cvi dup 3 idiv exch 12 and or 5 xor 2 bitshift -1 bitshift 200 div exch pop exch pop }", "((xor((trunc(b * 50)::BIGINT // 3) | (trunc(b * 50)::BIGINT & 12), 5) << 2) >> 1) / 200.0"),
-    "compare_ifelse": ("{ 2 copy gt { pop } { exch pop } ifelse 2 copy ge { exch } if pop }", "greatest(g, b)"),
+    "compare_ifelse": ("{ 2 copy gt { pop } { exch pop } ifelse 2 copy ge { exch } if pop }", "least(r, greatest(g, b))"),
     "logic": ("{ 0.5 lt exch 0.5 le and exch 0.5 ne or not { 0.25 } { 0.75 } ifelse }", "CASE WHEN (b < 0.5 AND g <= 0.5) OR r <> 0.5 THEN 0.75 ELSE 0.25 END"),
     "stack": ("{ 3 copy pop pop 3 index eq { dup } { 1 index } ifelse add 3 div exch pop exch pop }", "(b + b) / 3"),
 }
