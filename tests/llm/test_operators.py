@@ -240,3 +240,35 @@ def test_toxicity_learns_stems(spark):
     assert np.mean([r.predicted == (r.doc_id % 5 == 0) for r in unseen]) > 0.95
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in toxicity.score(docs(spark, rows), none).collect()} == {0.0}
+
+
+def test_notices_side_by_side():
+    text = "Released under the MIT License. Licensed under CC BY-NC 4.0. Licensed under CC BY 4.0."
+    assert [(x["licence"], x["first_word"]) for x in licences.find(text, tuple(licences.TEMPLATES))] == [("MIT", 0), ("CC-BY-NC-4.0", 5), ("CC-BY-4.0", 10)]
+
+
+def test_cross_entropy_difference(spark):
+    from paperloom.llm import lm
+
+    rng, bits = random.Random(9), 10  # few classes: the fixture has six words
+    rows = [(i, sentence(rng, 30, ["good", "fine", "well"] if i % 2 else ["bad", "poor", "ill"])) for i in range(40)] + [(50, None), (51, "")]
+    target = spark.createDataFrame([(i,) for i in range(1, 20, 2)] * 2, "doc_id long")
+    found = {r.doc_id: r for r in lm.score(docs(spark, rows), target, bits=bits).collect()}
+    assert len(found) == len(rows) and found[50].n_words == 0 and found[51].difference == 0
+    assert all((found[i].difference < 0) == bool(i % 2) for i in range(40))
+    # brute force, with the same classes: all counts but the document's own
+    column = pa.array([(t or "").encode() for _, t in rows], pa.binary())
+    before, word, pair, at = lm._classes(column, bits)
+    good = {i for i in range(1, 20, 2)}
+    for r in (1, 2, 25):
+        loss = []
+        for held in (lambda i: rows[i][0] in good, lambda i: True):
+            other = [k for k in range(len(at)) if held(at[k]) and at[k] != r]
+            total = 0.0
+            for k in np.flatnonzero(at == r):
+                base = (sum(word[o] == word[k] for o in other) + lm.ADDED) / (len(other) + lm.ADDED * 2 ** (bits - 2))
+                c12 = sum(pair[o] == pair[k] for o in other)
+                c1 = max(c12, sum(word[o] == before[k] for o in other))
+                total -= np.log(lm.BIGRAM * c12 / c1 + (1 - lm.BIGRAM) * base if c1 else base)
+            loss.append(total / 30)
+        assert np.allclose(loss, [found[r].target_loss, found[r].background_loss], atol=1e-9)
