@@ -105,17 +105,17 @@ def learn(docs: DataFrame, bits: int = BITS) -> tuple[np.ndarray, ...]:
     return tuple(tables)
 
 
-def _own(rows: np.ndarray, items: np.ndarray, bits: int) -> np.ndarray:
-    """How often each item occurs in its row."""
-    _, inverse, n = np.unique((rows << bits) | items, return_inverse=True, return_counts=True)
-    return n[inverse]
+def _own(rows: np.ndarray, items: np.ndarray, among: np.ndarray, bits: int) -> np.ndarray:
+    """How often each item occurs in its row, among the row's ``among``."""
+    held, wanted = np.sort((rows << bits) | among), (rows << bits) | items
+    return np.searchsorted(held, wanted, "right") - np.searchsorted(held, wanted, "left")
 
 
 def losses(text: pa.Array, target: np.ndarray, tables: tuple[np.ndarray, ...], totals: tuple[int, int], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, target loss, background loss) of each row, in nats a word."""
     before, word, pair, rows = _classes(text, bits)
     n = np.bincount(rows, minlength=len(text))
-    own_pair, own_word, own_before = _own(rows, pair, bits), _own(rows, word, bits), _own(rows, before, bits)
+    own_pair, own_word, own_before = _own(rows, pair, pair, bits), _own(rows, word, word, bits), _own(rows, before, word, bits)
     out = []
     for k, held in ((0, target[rows]), (1, np.ones(len(rows), bool))):
         c12 = np.maximum(tables[k][pair] - own_pair * held, 0)
