@@ -75,3 +75,61 @@ def inverse(m: list[Column]) -> list[Column]:
 def contains(box: list[Column], x: Column, y: Column) -> Column:
     """Closed on all sides, for corners in any order."""
     return x.between(F.least(box[0], box[2]), F.greatest(box[0], box[2])) & y.between(F.least(box[1], box[3]), F.greatest(box[1], box[3]))
+
+
+# Red, green and blue of each corner of the CMYK cube (cyan, magenta, yellow, black).
+CMYK_CORNERS = {
+    (0, 0, 0, 0): (1.0, 1.0, 1.0),
+    (0, 0, 0, 1): (0.1373, 0.1216, 0.1255),
+    (0, 0, 1, 0): (1.0, 0.9490, 0.0),
+    (0, 0, 1, 1): (0.1098, 0.1020, 0.0),
+    (0, 1, 0, 0): (0.9255, 0.0, 0.5490),
+    (0, 1, 0, 1): (0.1412, 0.0, 0.0),
+    (0, 1, 1, 0): (0.9294, 0.1098, 0.1412),
+    (0, 1, 1, 1): (0.1333, 0.0, 0.0),
+    (1, 0, 0, 0): (0.0, 0.6784, 0.9373),
+    (1, 0, 0, 1): (0.0, 0.0588, 0.1412),
+    (1, 0, 1, 0): (0.0, 0.6510, 0.3137),
+    (1, 0, 1, 1): (0.0, 0.0745, 0.0),
+    (1, 1, 0, 0): (0.1804, 0.1922, 0.5725),
+    (1, 1, 0, 1): (0.0, 0.0, 0.0078),
+    (1, 1, 1, 0): (0.2118, 0.2119, 0.2235),
+}
+
+
+def cmyk_to_rgb(*cmyk: Column) -> list[Column]:
+    """Interpolated between the corners of the cube, and held between 0 and 1."""
+    out = [F.lit(0.0)] * 3
+    for corner, color in CMYK_CORNERS.items():
+        weight = F.lit(1.0)
+        for part, at in zip(cmyk, corner, strict=True):
+            weight = weight * (part if at else 1 - part)
+        out = [x + weight * v if v else x for x, v in zip(out, color, strict=True)]
+    return [F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)) for x in out]
+
+
+def indexed(at: Column, table: list[tuple[float, ...]]) -> list[Column]:
+    """Components of an indexed color; an index beyond the table is its nearest end."""
+    held = F.greatest(F.lit(0), F.least(F.lit(len(table) - 1), at.cast("int")))
+    return [F.element_at(F.array(*(F.lit(float(row[k])) for row in table)), held + 1) for k in range(len(table[0]))]
+
+
+def clip(box: list[Column], to: list[Column]) -> list[Column]:
+    """``box`` held within ``to``; both (left, bottom, right, top)."""
+    within = lambda v, k: F.greatest(to[k], F.least(to[k + 2], v))
+    return [within(box[0], 0), within(box[1], 1), within(box[2], 0), within(box[3], 1)]
+
+
+# The bit of each permission (ISO 32000-1, table 22).
+PERMISSIONS = {"print": 3, "change": 4, "copy": 5, "annotate": 6, "fill": 9, "access": 10, "assemble": 11, "print_high": 12}
+
+
+def permissions(p: Column) -> dict[str, Column]:
+    return {k: F.getbit(p, F.lit(bit - 1)) == 1 for k, bit in PERMISSIONS.items()}
+
+
+def layer_visible(policy: Column, states: Column) -> Column:
+    """Whether content that belongs to layers in these states is shown; without layers it is."""
+    on, off = (lambda s: s), (lambda s: ~s)
+    shown = F.when(policy == "AllOn", F.forall(states, on)).when(policy == "AnyOff", F.exists(states, off)).when(policy == "AllOff", F.forall(states, off)).otherwise(F.exists(states, on))
+    return F.when(F.size(states) == 0, True).otherwise(shown)

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 from typing import Any
 
-from . import filters
+from . import filters, security
 from .syntax import Command, End, Name, Parser, Ref, Stream
 
 INHERITED = ("Resources", "MediaBox", "CropBox", "Rotate")
@@ -16,11 +16,12 @@ class Document:
     """Random access to one document's objects.
 
     ``ok`` is false, and everything empty, where no catalog can be found even by
-    scanning for objects.
+    scanning for objects, or where the password does not open the document.
     """
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, password: bytes = b""):
         self.data, self.cache, self.open_ = data, {}, set()
+        self.password, self.crypt, self.locked = password, None, False
         self.entries: dict[int, tuple] = {}
         self.trailer: dict = {}
         head = re.search(rb"%PDF-(\d+)\.(\d+)", data[:1024])
@@ -32,7 +33,8 @@ class Document:
                 self._read(int(re.match(rb"startxref\s*(\d+)", data[start:])[1]))
         except (End, TypeError, ValueError, KeyError, IndexError, AttributeError):
             self.entries = {}
-        if not isinstance(self.catalog, dict) or not isinstance(self.get(self.catalog.get("Pages")), dict):
+        self._unlock()
+        if not self.locked and (not isinstance(self.catalog, dict) or not isinstance(self.get(self.catalog.get("Pages")), dict)):
             self._rebuild()
         self.ok = isinstance(self.catalog, dict) and isinstance(self.get(self.catalog.get("Pages")), dict)
 
@@ -40,6 +42,16 @@ class Document:
     def catalog(self) -> Any:
         return self.get(self.trailer.get("Root"))
 
+    def _unlock(self) -> None:
+        """Find the key of an encrypted document; without it, nothing in it is read."""
+        if self.crypt is None and isinstance(d := security.resolved(self.get, self.trailer.get("Encrypt")), dict):
+            ids = self.get(self.trailer.get("ID"))
+            first = self.get(ids[0]) if isinstance(ids, list) and ids else b""
+            self.crypt = security.unlock(d, first if isinstance(first, bytes) else b"", self.password)
+            self.cache = {}
+            if self.crypt is None:
+                self.locked, self.entries = True, {}
+
     def _read(self, at: int) -> None:
         """The newest cross-reference section, and those before it; the first entry of a number counts."""
         done = set()
@@ -90,6 +102,7 @@ class Document:
                     self.trailer |= d
             except End:
                 pass
+        self._unlock()
         for num in list(self.entries):
             x = self.get(Ref(num, 0))
             if isinstance(x, Stream) and x.dict.get("Type") == "ObjStm":
@@ -97,6 +110,7 @@ class Document:
                     self.entries.setdefault(n, ("c", num, k))
             elif isinstance(x, Stream) and x.dict.get("Type") == "XRef":
                 self.trailer = x.dict | self.trailer
+                self._unlock()
         if not isinstance(self.catalog, dict):
             for num in self.entries:
                 x = self.get(Ref(num, 0))
@@ -151,6 +165,8 @@ class Document:
                     num, value = self._indirect(entry[1])
                     if num != x.num:
                         value = None
+                    if self.crypt and x != self.trailer.get("Encrypt"):
+                        value = self.crypt.apply(value, num, entry[2])
                 else:
                     holder = self.get(Ref(entry[1], 0))
                     body = self.decoded(holder) or b""

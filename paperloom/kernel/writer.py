@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterable
 from itertools import count
 from typing import Any
 
+from . import security
 from .document import Document
 from .syntax import Name, Ref, Stream, write
 
@@ -15,7 +17,7 @@ PAGE_WIDTH, PAGE_HEIGHT, MARGIN, LEADING, FONT_SIZE = 612, 792, 72, 12, 10
 WORDS_A_LINE, LINES_A_PAGE = 8, 54
 
 
-def file_of(objects: dict[int, Any], root: int, info: int | None = None, version: str = "1.7") -> bytes:
+def file_of(objects: dict[int, Any], root: int, info: int | None = None, version: str = "1.7", more: dict[str, Any] | None = None) -> bytes:
     out, places = bytearray(f"%PDF-{version}\n%\xe2\xe3\xcf\xd3\n".encode("latin-1")), {}
     for num in sorted(objects):
         places[num] = len(out)
@@ -24,12 +26,16 @@ def file_of(objects: dict[int, Any], root: int, info: int | None = None, version
     out += b"xref\n0 %d\n" % size
     for num in range(size):
         out += b"%010d %05d %s \n" % (places.get(num, 0), 0 if num in places else 65535, b"n" if num in places else b"f")
-    trailer = {"Size": size, "Root": Ref(root, 0)} | ({"Info": Ref(info, 0)} if info else {})
+    trailer = {"Size": size, "Root": Ref(root, 0)} | ({"Info": Ref(info, 0)} if info else {}) | (more or {})
     return bytes(out + b"trailer\n" + write(trailer) + b"\nstartxref\n%d\n%%%%EOF\n" % start)
 
 
 def synthesize(text: str | None, info: dict[str, str], compress: bool = True) -> bytes:
     """Courier pages of the text's words, in lines of eight, with an outline entry for each page."""
+    return file_of(_pages(text, info, compress), 1, 4)
+
+
+def _pages(text: str | None, info: dict[str, str], compress: bool = True) -> dict[int, Any]:
     tokens = (text or "").split()
     lines = [" ".join(tokens[i : i + WORDS_A_LINE]) for i in range(0, len(tokens), WORDS_A_LINE)] or [""]
     pages = [lines[i : i + LINES_A_PAGE] for i in range(0, len(lines), LINES_A_PAGE)]
@@ -47,7 +53,83 @@ def synthesize(text: str | None, info: dict[str, str], compress: bool = True) ->
         objects[num + 2] = item | ({"Next": Ref(num + 5, 0)} if i + 1 < len(pages) else {}) | ({"Prev": Ref(num - 1, 0)} if i else {})
     objects[2] = {"Type": Name("Pages"), "Count": len(pages), "Kids": [Ref(first + 3 * i, 0) for i in range(len(pages))], "MediaBox": [0, 0, PAGE_WIDTH, PAGE_HEIGHT], "Resources": {"Font": {"F1": Ref(3, 0)}}}
     objects[5] = {"Type": Name("Outlines"), "First": Ref(first + 2, 0), "Last": Ref(first + 3 * len(pages) - 1, 0), "Count": len(pages)}
-    return file_of(objects, 1, 4)
+    return objects
+
+
+def _utf16(s: str) -> bytes:
+    return b"\xfe\xff" + s.encode("utf-16-be")
+
+
+def decorate(text: str | None, info: dict[str, str], key: int) -> bytes:
+    """The same pages with an image, two links and a label each, and with named destinations, an
+    attached file, form fields, layers, scripts, a structure tree and document properties."""
+    objects, raw = _pages(text, info), (text or "").encode()
+    pages = [n for n, x in objects.items() if isinstance(x, dict) and x.get("Type") == "Page"]
+    free = count(max(objects) + 1)
+
+    def put(x: Any) -> Ref:
+        objects[num := next(free)] = x
+        return Ref(num, 0)
+
+    image = put(Stream({"Type": Name("XObject"), "Subtype": Name("Image"), "Width": 2, "Height": 2, "ColorSpace": Name("DeviceRGB"), "BitsPerComponent": 8}, bytes(range(12))))
+    draw = put(Stream({}, b"q 100 0 0 50 72 20 cm /Im1 Do Q"))
+    objects[2]["Resources"]["XObject"] = {"Im1": image}
+    sections = []
+    for i, num in enumerate(pages):
+        objects[num]["Contents"] = [objects[num]["Contents"], draw]
+        web = {"S": Name("URI"), "URI": f"https://example.org/{info['Subject']}/{key}#{i + 1}".encode()}
+        objects[num]["Annots"] = [put({"Type": Name("Annot"), "Subtype": Name("Link"), "Rect": [172, 712, 72, 700], "A": web}), put({"Type": Name("Annot"), "Subtype": Name("Link"), "Rect": [72, 60, 172, 72], "A": {"S": Name("GoTo"), "D": b"page-%04d" % len(pages)}})]
+        sections.append(put({"Type": Name("StructElem"), "S": Name("Chapter"), "Alt": b"Page %d" % (i + 1)}))
+    names = [x for i, num in enumerate(pages) for x in (b"page-%04d" % (i + 1), [Ref(num, 0), Name("XYZ"), 72, 720, 0])]
+    body = put(Stream({"Type": Name("EmbeddedFile"), "Subtype": Name("text/plain"), "Filter": Name("FlateDecode"), "Params": {"Size": len(raw), "CheckSum": hashlib.md5(raw).digest()}}, zlib.compress(raw)))
+    spec = put({"Type": Name("Filespec"), "F": b"source.txt", "UF": _utf16("source.txt"), "Desc": b"The text", "EF": {"F": body}})
+    group = put({"T": b"doc", "FT": Name("Tx")})
+    objects[group.num]["Kids"] = [put({"T": b"lang", "Parent": group, "V": _utf16(info["Subject"])}), put({"T": b"source", "Parent": group, "V": _utf16(info["Author"])})]
+    agree = put({"T": b"agree", "FT": Name("Btn"), "V": Name("Off" if key % 2 else "Yes")})
+    shown, hidden = put({"Type": Name("OCG"), "Name": b"Text"}), put({"Type": Name("OCG"), "Name": b"Notes"})
+    tree = put({"Type": Name("StructTreeRoot"), "RoleMap": {"Chapter": Name("Sect")}, "K": put({"Type": Name("StructElem"), "S": Name("Document"), "Lang": info["Subject"].encode(), "K": sections})})
+    objects[1] |= {
+        "Names": {"Dests": {"Names": names}, "EmbeddedFiles": {"Names": [b"source.txt", spec]}, "JavaScript": {"Names": [b"init", {"S": Name("JavaScript"), "JS": b"var doc = %d;" % key}]}},
+        "AcroForm": {"Fields": [group, agree]},
+        "OCProperties": {"OCGs": [shown, hidden], "D": {"OFF": [] if key % 3 else [hidden]}},
+        "PageLabels": {"Nums": [0, {"S": Name("r")}, 2, {"S": Name("D"), "P": b"A-", "St": 5}]},
+        "OpenAction": {"S": Name("JavaScript"), "JS": b"open();"},
+        "StructTreeRoot": tree,
+        "MarkInfo": {"Marked": True},
+        "Lang": info["Subject"].encode(),
+        "Metadata": put(Stream({"Type": Name("Metadata"), "Subtype": Name("XML")}, f"<title>{info['Title']}</title>".encode())),
+        "PageMode": Name("UseOutlines"),
+        "PageLayout": Name("OneColumn"),
+        "ViewerPreferences": {"HideToolbar": True},
+    }
+    return file_of(objects, 1, 4, more={"ID": [hashlib.md5(raw).digest()] * 2})
+
+
+def protect(objects: dict[int, Any], method: str, user: bytes, owner: bytes, first_id: bytes, info: int | None = 4) -> bytes:
+    """A file of ``objects`` (the catalog is number 1), encrypted; see ``security.lock``."""
+    d, crypt = security.lock(method, user, owner, first_id)
+    return file_of({n: crypt.apply(x, n, 0, seal=True) for n, x in objects.items()}, 1, info, more={"Encrypt": d, "ID": [first_id] * 2})
+
+
+def synthesize_protected(text: str | None, info: dict[str, str], method: str, user: bytes, owner: bytes) -> bytes:
+    return protect(_pages(text, info), method, user, owner, hashlib.md5((text or "").encode()).digest())
+
+
+def update(data: bytes, changed: dict[int, Any]) -> bytes:
+    """``data`` and, after it, new values of some objects with a cross-reference section of their own."""
+    doc = Document(data)
+    out, places = bytearray(data if data.endswith(b"\n") else data + b"\n"), {}
+    for num in sorted(changed):
+        places[num] = len(out)
+        out += b"%d 0 obj\n" % num + write(changed[num]) + b"\nendobj\n"
+    start = len(out)
+    out += b"xref\n"
+    for num in sorted(places):
+        out += b"%d 1\n%010d 00000 n \n" % (num, places[num])
+    before = int(data[data.rfind(b"startxref") + 9 :].split()[0])
+    kept = {k: v for k, v in doc.trailer.items() if k in ("Root", "Info", "ID")}
+    trailer = kept | {"Size": max([*doc.entries, *places]) + 1, "Prev": before}
+    return bytes(out + b"trailer\n" + write(trailer) + b"\nstartxref\n%d\n%%%%EOF\n" % start)
 
 
 def assemble(parts: Iterable[tuple[Document, Iterable[int]]]) -> bytes:

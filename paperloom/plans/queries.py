@@ -10,108 +10,77 @@ from pyspark.sql import functions as F
 from paperloom.functions import calculators as C
 from paperloom.functions import scalars as S
 from paperloom.kernel import filters
-from paperloom.kernel.writer import LEADING, LINES_A_PAGE, MARGIN, WORDS_A_LINE
 from paperloom.sources import pdf
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+from .registry import ORACLES, QUERIES, WORDS, pdfs, query, table
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def put(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
-
-
-def _pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pdf.synthesized(_table(spark, sf_dir, "documents"))
-
-
-# The words of a text as the synthesised pages place them: w from 0, in lines of eight and pages of 54 lines.
-_WORDS = f"""
-WITH t AS (SELECT doc_id, lang, source, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM documents),
-u AS (SELECT doc_id, lang, source, unnest(ws) AS text, generate_subscripts(ws, 1) - 1 AS w FROM t),
-p AS (SELECT *, w // {WORDS_A_LINE} AS l, (w // {WORDS_A_LINE}) // {LINES_A_PAGE} AS page FROM u),
-b AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id, l ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS col FROM p),
-placed AS (SELECT doc_id, lang, CAST(page AS INTEGER) AS page_num, CAST(l % {LINES_A_PAGE} AS INTEGER) AS line, w, text, {MARGIN} + 6.0 * col AS x_min, {MARGIN} + 6.0 * (col + length(text)) AS x_max, {MARGIN} + {LEADING}.0 * (l % {LINES_A_PAGE}) AS base FROM b)
-"""
-
-
-@query(_WORDS + "SELECT lang, count(*) AS n_words, CAST(sum(length(text)) AS BIGINT) AS n_letters FROM placed GROUP BY lang")
+@query(WORDS + "SELECT lang, count(*) AS n_words, CAST(sum(length(text)) AS BIGINT) AS n_letters FROM placed GROUP BY lang")
 def text_words_per_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     words = pdf.word_table(pdf.synthesized(docs)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("s"))
     return words.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.sum("n").alias("n_words"), F.sum("s").alias("n_letters"))
 
 
-@query(_WORDS + "SELECT doc_id, page_num, line, text, CAST(round(x_min, 2) AS DOUBLE) AS x_min, CAST(round(x_max, 2) AS DOUBLE) AS x_max, CAST(base - 8 AS DOUBLE) AS y_min, CAST(base + 2 AS DOUBLE) AS y_max FROM placed")
+@query(WORDS + "SELECT doc_id, page_num, line, text, CAST(round(x_min, 2) AS DOUBLE) AS x_min, CAST(round(x_max, 2) AS DOUBLE) AS x_max, CAST(base - 8 AS DOUBLE) AS y_min, CAST(base + 2 AS DOUBLE) AS y_max FROM placed")
 def word_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = pdf.word_table(_pdfs(spark, sf_dir))
+    words = pdf.word_table(pdfs(spark, sf_dir))
     return words.select("doc_id", "page_num", "line", "text", *(F.round(c, 2).alias(c) for c in ("x_min", "x_max", "y_min", "y_max")))
 
 
-@query(_WORDS + "SELECT doc_id, page_num, line, string_agg(text, ' ' ORDER BY w) AS text, CAST(round(min(x_min), 2) AS DOUBLE) AS x_min, CAST(round(max(x_max), 2) AS DOUBLE) AS x_max FROM placed GROUP BY doc_id, page_num, line")
+@query(WORDS + "SELECT doc_id, page_num, line, string_agg(text, ' ' ORDER BY w) AS text, CAST(round(min(x_min), 2) AS DOUBLE) AS x_min, CAST(round(max(x_max), 2) AS DOUBLE) AS x_max FROM placed GROUP BY doc_id, page_num, line")
 def line_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.operators.layout import lines
 
-    found = lines(pdf.word_table(_pdfs(spark, sf_dir)))
+    found = lines(pdf.word_table(pdfs(spark, sf_dir)))
     return found.select("doc_id", "page_num", "line", "text", F.round("x_min", 2).alias("x_min"), F.round("x_max", 2).alias("x_max"))
 
 
-@query(_WORDS + "SELECT doc_id, page_num, CAST(round(min(x_min), 2) AS DOUBLE) AS x_min, CAST(round(max(x_max), 2) AS DOUBLE) AS x_max, CAST(min(base) - 8 AS DOUBLE) AS y_min, CAST(max(base) + 2 AS DOUBLE) AS y_max FROM placed GROUP BY doc_id, page_num")
+@query(WORDS + "SELECT doc_id, page_num, CAST(round(min(x_min), 2) AS DOUBLE) AS x_min, CAST(round(max(x_max), 2) AS DOUBLE) AS x_max, CAST(min(base) - 8 AS DOUBLE) AS y_min, CAST(max(base) + 2 AS DOUBLE) AS y_max FROM placed GROUP BY doc_id, page_num")
 def page_ink_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = pdf.word_table(_pdfs(spark, sf_dir)).groupBy("doc_id", "page_num")
+    words = pdf.word_table(pdfs(spark, sf_dir)).groupBy("doc_id", "page_num")
     return words.agg(*(F.round(f(c), 2).alias(c) for c, f in (("x_min", F.min), ("x_max", F.max), ("y_min", F.min), ("y_max", F.max))))
 
 
-@query(_WORDS + "SELECT doc_id, page_num, string_agg(text, CASE WHEN w % 8 = 0 THEN chr(10) ELSE ' ' END ORDER BY w) AS text FROM placed GROUP BY doc_id, page_num".replace("string_agg(text, CASE WHEN w % 8 = 0 THEN chr(10) ELSE ' ' END ORDER BY w)", "ltrim(string_agg(CASE WHEN w % 8 = 0 THEN chr(10) ELSE ' ' END || text, '' ORDER BY w), chr(10))"))
+@query(WORDS + "SELECT doc_id, page_num, string_agg(text, CASE WHEN w % 8 = 0 THEN chr(10) ELSE ' ' END ORDER BY w) AS text FROM placed GROUP BY doc_id, page_num".replace("string_agg(text, CASE WHEN w % 8 = 0 THEN chr(10) ELSE ' ' END ORDER BY w)", "ltrim(string_agg(CASE WHEN w % 8 = 0 THEN chr(10) ELSE ' ' END || text, '' ORDER BY w), chr(10))"))
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.operators.layout import lines, page_texts
 
-    return page_texts(lines(pdf.word_table(_pdfs(spark, sf_dir))))
+    return page_texts(lines(pdf.word_table(pdfs(spark, sf_dir))))
 
 
-@query(_WORDS + "SELECT d.doc_id, greatest(1, coalesce(max(page_num) + 1, 1)) AS n_pages FROM documents d LEFT JOIN placed p ON d.doc_id = p.doc_id GROUP BY d.doc_id")
+@query(WORDS + "SELECT d.doc_id, greatest(1, coalesce(max(page_num) + 1, 1)) AS n_pages FROM documents d LEFT JOIN placed p ON d.doc_id = p.doc_id GROUP BY d.doc_id")
 def page_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pdf.info_table(_pdfs(spark, sf_dir)).select("doc_id", "n_pages")
+    return pdf.info_table(pdfs(spark, sf_dir)).select("doc_id", "n_pages")
 
 
 @query("SELECT doc_id, 'doc-' || doc_id AS title, lang AS subject, source AS author, 1 AS version_major, 7 AS version_minor FROM documents")
 def info_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pdf.info_table(_pdfs(spark, sf_dir)).select("doc_id", F.col("info.Title").alias("title"), F.col("info.Subject").alias("subject"), F.col("info.Author").alias("author"), "version_major", "version_minor")
+    return pdf.info_table(pdfs(spark, sf_dir)).select("doc_id", F.col("info.Title").alias("title"), F.col("info.Subject").alias("subject"), F.col("info.Author").alias("author"), "version_major", "version_minor")
 
 
-@query(_WORDS + ", n AS (SELECT d.doc_id, greatest(1, coalesce(max(page_num) + 1, 1)) AS n FROM documents d LEFT JOIN placed p ON d.doc_id = p.doc_id GROUP BY d.doc_id), i AS (SELECT doc_id, unnest(range(n)) AS k FROM n) SELECT doc_id, CAST(k AS INTEGER) AS node_id, 0 AS depth, CAST(k AS INTEGER) AS ord, 'Page ' || (k + 1) AS title FROM i")
+@query(WORDS + ", n AS (SELECT d.doc_id, greatest(1, coalesce(max(page_num) + 1, 1)) AS n FROM documents d LEFT JOIN placed p ON d.doc_id = p.doc_id GROUP BY d.doc_id), i AS (SELECT doc_id, unnest(range(n)) AS k FROM n) SELECT doc_id, CAST(k AS INTEGER) AS node_id, 0 AS depth, CAST(k AS INTEGER) AS ord, 'Page ' || (k + 1) AS title FROM i")
 def outline_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pdf.outline_table(_pdfs(spark, sf_dir)).select("doc_id", "node_id", "depth", "ord", "title")
+    return pdf.outline_table(pdfs(spark, sf_dir)).select("doc_id", "node_id", "depth", "ord", "title")
 
 
-@query(_WORDS + ", n AS (SELECT d.doc_id, greatest(1, coalesce(max(page_num) + 1, 1)) AS n FROM documents d LEFT JOIN placed p ON d.doc_id = p.doc_id GROUP BY d.doc_id), i AS (SELECT doc_id, unnest(range(n)) AS k FROM n) SELECT doc_id, CAST(k AS INTEGER) AS page_num, 612.0::DOUBLE AS width, 792.0::DOUBLE AS height, 0 AS rotate FROM i")
+@query(WORDS + ", n AS (SELECT d.doc_id, greatest(1, coalesce(max(page_num) + 1, 1)) AS n FROM documents d LEFT JOIN placed p ON d.doc_id = p.doc_id GROUP BY d.doc_id), i AS (SELECT doc_id, unnest(range(n)) AS k FROM n) SELECT doc_id, CAST(k AS INTEGER) AS page_num, 612.0::DOUBLE AS width, 792.0::DOUBLE AS height, 0 AS rotate FROM i")
 def page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = F.col("media_box")
-    return pdf.page_table(_pdfs(spark, sf_dir)).select("doc_id", "page_num", (box[2] - box[0]).alias("width"), (box[3] - box[1]).alias("height"), "rotate")
+    return pdf.page_table(pdfs(spark, sf_dir)).select("doc_id", "page_num", (box[2] - box[0]).alias("width"), (box[3] - box[1]).alias("height"), "rotate")
 
 
-@query(_WORDS + ", n AS (SELECT d.doc_id, greatest(1, coalesce(max(page_num) + 1, 1)) AS n FROM documents d LEFT JOIN placed p ON d.doc_id = p.doc_id GROUP BY d.doc_id), s AS (SELECT count(*) AS d, sum(n) AS n FROM n) SELECT type, CAST(n AS BIGINT) AS n_objects FROM (SELECT 'Catalog' AS type, d AS n FROM s UNION ALL SELECT 'Pages', d FROM s UNION ALL SELECT 'Font', d FROM s UNION ALL SELECT 'Page', n FROM s UNION ALL SELECT 'Outlines', d FROM s UNION ALL SELECT '(none)', 2 * n + d FROM s)")
+@query(WORDS + ", n AS (SELECT d.doc_id, greatest(1, coalesce(max(page_num) + 1, 1)) AS n FROM documents d LEFT JOIN placed p ON d.doc_id = p.doc_id GROUP BY d.doc_id), s AS (SELECT count(*) AS d, sum(n) AS n FROM n) SELECT type, CAST(n AS BIGINT) AS n_objects FROM (SELECT 'Catalog' AS type, d AS n FROM s UNION ALL SELECT 'Pages', d FROM s UNION ALL SELECT 'Font', d FROM s UNION ALL SELECT 'Page', n FROM s UNION ALL SELECT 'Outlines', d FROM s UNION ALL SELECT '(none)', 2 * n + d FROM s)")
 def object_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pdf.object_table(_pdfs(spark, sf_dir))
+    found = pdf.object_table(pdfs(spark, sf_dir))
     return found.groupBy(F.coalesce("type", F.lit("(none)")).alias("type")).agg(F.count(F.lit(1)).alias("n_objects"))
 
 
-@query(_WORDS + "SELECT doc_id, page_num, count(*) AS n_words, min_by(text, w) AS first_word FROM placed GROUP BY doc_id, page_num")
+@query(WORDS + "SELECT doc_id, page_num, count(*) AS n_words, min_by(text, w) AS first_word FROM placed GROUP BY doc_id, page_num")
 def split_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = pdf.split_pages(_pdfs(spark, sf_dir)).withColumn("doc_id", F.struct("doc_id", "page_num"))
+    parts = pdf.split_pages(pdfs(spark, sf_dir)).withColumn("doc_id", F.struct("doc_id", "page_num"))
     words = pdf.word_table(parts.select(F.to_json("doc_id").alias("key"), F.xxhash64(F.to_json("doc_id")).alias("doc_id"), "bytes")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.min_by("text", "word_num").alias("first_word"))
-    keys = pdf.page_table(_pdfs(spark, sf_dir)).select("doc_id", "page_num").withColumn("key", F.xxhash64(F.to_json(F.struct("doc_id", "page_num"))))
+    keys = pdf.page_table(pdfs(spark, sf_dir)).select("doc_id", "page_num").withColumn("key", F.xxhash64(F.to_json(F.struct("doc_id", "page_num"))))
     return words.withColumnRenamed("doc_id", "key").join(keys, "key").select("doc_id", "page_num", "n_words", "first_word")
 
 
@@ -123,33 +92,33 @@ def _search(name: str, sql: str, ignore_case: bool, whole: bool) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from paperloom.operators.search import search
 
-        hits = search(pdf.word_table(_pdfs(spark, sf_dir)), NEEDLES, ignore_case=ignore_case, whole_words=whole)
+        hits = search(pdf.word_table(pdfs(spark, sf_dir)), NEEDLES, ignore_case=ignore_case, whole_words=whole)
         return hits.groupBy("needle").agg(F.count(F.lit(1)).alias("n_words"), F.countDistinct("doc_id").alias("n_docs"))
 
-    QUERIES[name], ORACLES[name] = run, _WORDS + f"SELECT needle, count(*) AS n_words, count(DISTINCT doc_id) AS n_docs FROM placed, {_NEEDLE_SQL} WHERE {sql} GROUP BY needle"
+    QUERIES[name], ORACLES[name] = run, WORDS + f"SELECT needle, count(*) AS n_words, count(DISTINCT doc_id) AS n_docs FROM placed, {_NEEDLE_SQL} WHERE {sql} GROUP BY needle"
 
 
 _search("search_cs", "contains(text, needle)", False, False)
 _search("search_ci", "contains(lower(text), lower(needle))", True, False)
 _search("search_whole_word", "", True, True)
-ORACLES["search_whole_word"] = _WORDS + " UNION ALL ".join(f"SELECT '{n}' AS needle, count(*) AS n_words, count(DISTINCT doc_id) AS n_docs FROM placed WHERE regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{Nd}}]){n.lower()}($|[^\\p{{L}}\\p{{Nd}}])') HAVING count(*) > 0" for n in NEEDLES)
+ORACLES["search_whole_word"] = WORDS + " UNION ALL ".join(f"SELECT '{n}' AS needle, count(*) AS n_words, count(DISTINCT doc_id) AS n_docs FROM placed WHERE regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{Nd}}]){n.lower()}($|[^\\p{{L}}\\p{{Nd}}])') HAVING count(*) > 0" for n in NEEDLES)
 
 
 @query("SELECT p_partkey, p_size, CASE WHEN p_size > 0 THEN repeat('m', p_size // 1000) || ['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'][p_size // 100 % 10 + 1] || ['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'][p_size // 10 % 10 + 1] || ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][p_size % 10 + 1] ELSE '' END AS label, p_size AS back FROM part")
 def page_label_roman(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = S.to_roman(F.col("p_size"))
-    return _table(spark, sf_dir, "part").select("p_partkey", "p_size", label.alias("label"), S.from_roman(label).alias("back"))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size", label.alias("label"), S.from_roman(label).alias("back"))
 
 
 @query("SELECT p_partkey, p_size, repeat(chr(97 + (p_size - 1) % 26), (p_size - 1) // 26 + 1) AS label, p_size AS back FROM part")
 def page_label_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = S.to_latin(F.col("p_size"))
-    return _table(spark, sf_dir, "part").select("p_partkey", "p_size", label.alias("label"), S.from_latin(label).alias("back"))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size", label.alias("label"), S.from_latin(label).alias("back"))
 
 
 @query("SELECT o_orderkey, 'D:' || strftime(o_orderdate, '%Y%m%d%H%M%S') || '+00''00''' AS pdf_date, CAST(date_trunc('second', o_orderdate) AS TIMESTAMP) AS back FROM orders")
 def pdf_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _table(spark, sf_dir, "orders")
+    orders = table(spark, sf_dir, "orders")
     said = S.format_date(F.col("o_orderdate").cast("timestamp"))
     return orders.select("o_orderkey", said.alias("pdf_date"), S.parse_date(said).cast("timestamp_ntz").alias("back"))
 
@@ -162,7 +131,7 @@ _RGB = "WITH c AS (SELECT l_orderkey, l_linenumber, l_discount * 10 AS r, l_tax
 
 
 def _rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 10).alias("r"), (F.col("l_tax") * 10).alias("g"), (F.col("l_quantity") / 50).alias("b"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 10).alias("r"), (F.col("l_tax") * 10).alias("g"), (F.col("l_quantity") / 50).alias("b"))
 
 
 @query(_RGB + "SELECT l_orderkey, l_linenumber, round(greatest(0, least(1, 0.3 * r + 0.59 * g + 0.11 * b)), 6) AS gray FROM c")
@@ -257,7 +226,7 @@ for _name, (_f, _sql) in BLENDS.items():
 
 @query("SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256 FROM documents")
 def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
 
 
 def _round_trip(name: str, short: str) -> None:
@@ -269,7 +238,7 @@ def _round_trip(name: str, short: str) -> None:
                 raw = [filters.decode(filters.ENCODERS[name](x or b""), [name], [{}]) for x in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(raw, pa.binary())], names=["doc_id", "raw"])
 
-        docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("text"))
+        docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("text"))
         return docs.mapInArrow(both, "doc_id long, raw binary").select("doc_id", F.md5("raw").alias("md5"))
 
     QUERIES[f"{short}_roundtrip"], ORACLES[f"{short}_roundtrip"] = run, "SELECT doc_id, md5(text) AS md5 FROM documents"

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from paperloom.kernel.content import Interpreter, words
 from paperloom.kernel.document import Document
-from paperloom.kernel.syntax import Stream
-from paperloom.kernel.writer import assemble, synthesize
+from paperloom.kernel.syntax import Ref, Stream
+from paperloom.kernel.writer import assemble, decorate, synthesize, synthesize_protected, update
 
 
 def read_pdf(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
@@ -26,7 +26,7 @@ def stream_pdf(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame
     return files.select(F.xxhash64("path").alias("doc_id"), "path", F.col("content").alias("bytes"))
 
 
-def _rows(df: DataFrame, schema: str, kernel: Callable[[dict], Iterator[dict]], *columns: str, keep: int = 4_096) -> DataFrame:
+def rows_of(df: DataFrame, schema: str, kernel: Callable[[dict], Iterator[dict]], *columns: str, keep: int = 4_096) -> DataFrame:
     """``kernel`` gives a document's rows; batches of about ``keep`` rows leave as they fill."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -45,7 +45,13 @@ def _rows(df: DataFrame, schema: str, kernel: Callable[[dict], Iterator[dict]],
         if held:
             yield pa.RecordBatch.from_pylist(held, arrow)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    secret = ["password"] if "bytes" in columns and "password" in df.columns and "password" not in columns else []
+    return df.select(*columns, *secret).mapInArrow(run, schema)
+
+
+def opened(r: dict) -> Document:
+    """The document of a row; a binary column ``password`` opens encrypted ones."""
+    return Document(r["bytes"] or b"", r.get("password") or b"")
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -56,66 +62,105 @@ def spread(df: DataFrame) -> DataFrame:
 
 def synthesized(docs: DataFrame) -> DataFrame:
     """(doc_id, bytes): a PDF for each row of ``documents``, with title, subject and author."""
-    return _rows(spread(docs), "doc_id long, bytes binary", lambda r: iter([{"doc_id": r["doc_id"], "bytes": synthesize(r["text"], {"Title": f"doc-{r['doc_id']}", "Subject": r["lang"] or "", "Author": r["source"] or ""})}]), "doc_id", "text", "lang", "source", keep=64)
+    return rows_of(spread(docs), "doc_id long, bytes binary", lambda r: iter([{"doc_id": r["doc_id"], "bytes": synthesize(r["text"], {"Title": f"doc-{r['doc_id']}", "Subject": r["lang"] or "", "Author": r["source"] or ""})}]), "doc_id", "text", "lang", "source", keep=64)
+
+
+def decorated(docs: DataFrame) -> DataFrame:
+    """(doc_id, bytes): the same with links, files, fields, layers, labels and structure; see ``decorate``."""
+    return rows_of(spread(docs), "doc_id long, bytes binary", lambda r: iter([{"doc_id": r["doc_id"], "bytes": decorate(r["text"], {"Title": f"doc-{r['doc_id']}", "Subject": r["lang"] or "", "Author": r["source"] or ""}, r["doc_id"] or 0)}]), "doc_id", "text", "lang", "source", keep=64)
+
+
+def protected(docs: DataFrame, method: str, user: bytes, owner: bytes) -> DataFrame:
+    """(doc_id, bytes): the plain pages, encrypted by RC4-40, RC4-128, AES-128 or AES-256."""
+    return rows_of(spread(docs), "doc_id long, bytes binary", lambda r: iter([{"doc_id": r["doc_id"], "bytes": synthesize_protected(r["text"], {"Title": f"doc-{r['doc_id']}"}, method, user, owner)}]), "doc_id", "text", keep=64)
 
 
 def word_table(pdfs: DataFrame) -> DataFrame:
     """A row for each word: page and line from 0, place in its page, text and box in points from the top left."""
 
     def kernel(r: dict) -> Iterator[dict]:
-        doc = Document(r["bytes"] or b"")
+        doc = opened(r)
         run = Interpreter(doc)
         for page_num, (_, page) in enumerate(doc.pages()):
             for i, w in enumerate(words(run.glyphs(page))):
                 yield {"doc_id": r["doc_id"], "page_num": page_num, "word_num": i, **w._asdict()}
 
-    return _rows(pdfs, "doc_id long, page_num int, word_num int, line int, text string, x_min double, y_min double, x_max double, y_max double, base double, size double, font string", kernel, "doc_id", "bytes")
+    return rows_of(pdfs, "doc_id long, page_num int, word_num int, line int, text string, x_min double, y_min double, x_max double, y_max double, base double, size double, font string", kernel, "doc_id", "bytes")
 
 
 def page_table(pdfs: DataFrame) -> DataFrame:
     def kernel(r: dict) -> Iterator[dict]:
-        doc = Document(r["bytes"] or b"")
+        doc = opened(r)
         for i, (_, page) in enumerate(doc.pages()):
             box = [float(doc.get(v)) for v in doc.get(page.get("MediaBox")) or [0, 0, 612, 792]]
             crop = [float(doc.get(v)) for v in doc.get(page.get("CropBox")) or box]
             yield {"doc_id": r["doc_id"], "page_num": i, "media_box": box, "crop_box": crop, "rotate": int(doc.get(page.get("Rotate")) or 0) % 360}
 
-    return _rows(pdfs, "doc_id long, page_num int, media_box array<double>, crop_box array<double>, rotate int", kernel, "doc_id", "bytes")
+    return rows_of(pdfs, "doc_id long, page_num int, media_box array<double>, crop_box array<double>, rotate int", kernel, "doc_id", "bytes")
 
 
 def info_table(pdfs: DataFrame) -> DataFrame:
     def kernel(r: dict) -> Iterator[dict]:
-        doc = Document(r["bytes"] or b"")
-        yield {"doc_id": r["doc_id"], "ok": doc.ok, "rebuilt": doc.rebuilt, "version_major": doc.version and doc.version[0], "version_minor": doc.version and doc.version[1], "n_pages": sum(1 for _ in doc.pages()), "encrypted": "Encrypt" in doc.trailer, "info": list(doc.info().items())}
+        doc = opened(r)
+        yield {"doc_id": r["doc_id"], "ok": doc.ok, "rebuilt": doc.rebuilt, "version_major": doc.version and doc.version[0], "version_minor": doc.version and doc.version[1], "n_pages": sum(1 for _ in doc.pages()), "encrypted": "Encrypt" in doc.trailer, "permissions": doc.crypt and doc.crypt.permissions, "info": list(doc.info().items())}
 
-    return _rows(pdfs, "doc_id long, ok boolean, rebuilt boolean, version_major int, version_minor int, n_pages int, encrypted boolean, info map<string,string>", kernel, "doc_id", "bytes")
+    return rows_of(pdfs, "doc_id long, ok boolean, rebuilt boolean, version_major int, version_minor int, n_pages int, encrypted boolean, permissions int, info map<string,string>", kernel, "doc_id", "bytes")
 
 
 def outline_table(pdfs: DataFrame) -> DataFrame:
     def kernel(r: dict) -> Iterator[dict]:
-        for node, parent, depth, position, title in Document(r["bytes"] or b"").outline():
+        for node, parent, depth, position, title in opened(r).outline():
             yield {"doc_id": r["doc_id"], "node_id": node, "parent_id": parent, "depth": depth, "ord": position, "title": title}
 
-    return _rows(pdfs, "doc_id long, node_id int, parent_id int, depth int, ord int, title string", kernel, "doc_id", "bytes")
+    return rows_of(pdfs, "doc_id long, node_id int, parent_id int, depth int, ord int, title string", kernel, "doc_id", "bytes")
 
 
 def object_table(pdfs: DataFrame) -> DataFrame:
     """(doc_id, num, kind, type): what every indirect object is."""
 
     def kernel(r: dict) -> Iterator[dict]:
-        for num, x in Document(r["bytes"] or b"").objects():
+        for num, x in opened(r).objects():
             d = x.dict if isinstance(x, Stream) else x
             yield {"doc_id": r["doc_id"], "num": num, "kind": "stream" if isinstance(x, Stream) else type(x).__name__, "type": str(d["Type"]) if isinstance(d, dict) and isinstance(d.get("Type"), str) else None}
 
-    return _rows(pdfs, "doc_id long, num int, kind string, type string", kernel, "doc_id", "bytes")
+    return rows_of(pdfs, "doc_id long, num int, kind string, type string", kernel, "doc_id", "bytes")
 
 
 def split_pages(pdfs: DataFrame) -> DataFrame:
     """(doc_id, page_num, bytes): a document of its own for every page."""
 
     def kernel(r: dict) -> Iterator[dict]:
-        doc = Document(r["bytes"] or b"")
+        doc = opened(r)
         for i, _ in enumerate(list(doc.pages())):
             yield {"doc_id": r["doc_id"], "page_num": i, "bytes": assemble([(doc, [i])])}
 
-    return _rows(pdfs, "doc_id long, page_num int, bytes binary", kernel, "doc_id", "bytes", keep=64)
+    return rows_of(pdfs, "doc_id long, page_num int, bytes binary", kernel, "doc_id", "bytes", keep=64)
+
+
+def merge_docs(pdfs: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, bytes): the documents of each key as one, in the given order; a result is one row and has to fit in it."""
+    parts = pdfs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "bytes"))).alias("parts"))
+
+    def kernel(r: dict) -> Iterator[dict]:
+        docs = [opened(p) for p in r["parts"]]
+        yield {key: r[key], "bytes": assemble([(d, range(sum(1 for _ in d.pages()))) for d in docs])}
+
+    return rows_of(parts, f"{key} {pdfs.schema[key].dataType.simpleString()}, bytes binary", kernel, key, "parts", keep=16)
+
+
+def set_info(pdfs: DataFrame, entries: DataFrame) -> DataFrame:
+    """(doc_id, bytes): an incremental update that sets the info strings of ``entries`` (doc_id, info map<string,string>); null removes one.
+
+    Damaged and encrypted documents stay as they are.
+    """
+
+    def kernel(r: dict) -> Iterator[dict]:
+        doc, data = opened(r), r["bytes"]
+        ref = doc.trailer.get("Info")
+        if doc.ok and not doc.rebuilt and not doc.crypt and isinstance(ref, Ref) and r["info"] is not None:
+            old = doc.get(ref)
+            new = {**(old if isinstance(old, dict) else {}), **{k: v if v is None else b"\xfe\xff" + v.encode("utf-16-be") for k, v in dict(r["info"]).items()}}
+            data = update(data, {ref.num: {k: v for k, v in new.items() if v is not None}})
+        yield {"doc_id": r["doc_id"], "bytes": data}
+
+    return rows_of(pdfs.join(entries, "doc_id", "left"), "doc_id long, bytes binary", kernel, "doc_id", "bytes", "info", keep=64)
