@@ -52,8 +52,9 @@ def _cuts_latin(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     cut[joined] = False
     # contractions: an apostrophe that starts a match
     mark = np.flatnonzero((code == 0x27) & change[:n])
-    mark = mark[~np.isin(mark, joined)]
-    mark = mark[(mark + 1 < n)]
+    after_space = np.zeros(n + 1, bool)
+    after_space[joined] = True
+    mark = mark[~after_space[mark] & (mark + 1 < n)]
     mark = mark[~new_row[mark + 1]]
     if len(mark):
         c1 = code[mark + 1]
