@@ -1,15 +1,22 @@
 """Cross-entropy difference: how much better a target model foretells a document than a background model.
 
 Both are interpolated bigram models over one vocabulary of words, learnt alike: the
-target's from the documents marked as good, the background's from all documents.  The
-vocabulary is hashed to ``2**bits`` bigram and ``2**(bits - 2)`` word classes, so that a
-model's size is a parameter; every word of every document is counted and scored.  A
-document's own counts are left out when it is scored, else the target would know its own
-documents by heart.
+target's from the documents marked as good, the background's from all documents.  Every
+distinct word, context and bigram has its own exact count, so the models grow with the
+corpus; no task and not the driver holds one whole.  A document's own counts are left out
+when it is scored, else the target would know its own documents by heart.
+
+Texts are read once.  A task codes some megabytes of documents, a chunk, as positions in
+the sorted list of the chunk's distinct keys (64-bit hashes), and sends the list, cut by
+ranges of hashes, with the chunk's counts.  Each range sums the counts of its keys over
+all chunks and answers each chunk in the order of its list.  The chunk's documents are
+then scored from the answers.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,117 +25,149 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import buffer_of, chunked
+from .shared import Scratch, buffer_of, chunked
 from .words import BASES, LOWER, WORDLIKE, Rolling, find, mix
 
-#: Logarithm of the bigram classes, weight of bigrams, counts added to each word class.
-BITS, BIGRAM, ADDED = 22, 0.6, 0.1
-#: Bytes of text whose counts a task keeps before it sends them on; pieces that the classes are sent in.
-FLUSH, SLICES = 48 << 20, 64
+#: Weight of bigrams, and counts added to each word of the vocabulary.
+BIGRAM, ADDED = 0.6, 0.1
+#: Bytes of text in a chunk, and bytes of text for each range of hashes.
+CHUNK, RANGE = 16 << 20, 16 << 20
+#: Kinds of keys beside bigrams, as salts of their hashes.
+WORD, CONTEXT = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
-def _classes(text: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word but the last of a row: classes of it, of the next, of both together; and the row."""
+def _packed(*arrays: np.ndarray) -> bytes:
+    return zstandard.compress(pickle.dumps(arrays), 1)
+
+
+def _unpacked(body: bytes) -> tuple[np.ndarray, ...]:
+    return pickle.loads(zstandard.decompress(body))
+
+
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    return counts.astype(np.min_scalar_type(int(counts.max()))) if len(counts) else counts
+
+
+def hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, word) of each word of each row, as hashes, and the words of each row; a mark is the first one's context."""
     data, offsets = buffer_of(text)
     words = find(LOWER[data], offsets, WORDLIKE)
-    h, rows = Rolling(words.data.astype(np.uint64) + np.uint64(1), BASES[0])(words.starts, words.ends), words.rows()
-    # a row begins with a mark, so that its first word has a context too
-    at = np.arange(len(h)) + rows + 1
-    stream, row_of = np.full(len(h) + len(text), np.uint64(BASES[1])), np.repeat(np.arange(len(text)), np.diff(words.first) + 1)
-    stream[at] = h
-    before = stream[at - 1]
-    single, pair = np.uint64(64 - bits + 2), np.uint64(64 - bits)
-    return (mix(before) >> single).astype(np.int64), (mix(h) >> single).astype(np.int64), (mix(before * np.uint64(BASES[0]) + h) >> pair).astype(np.int64), rows
-
-
-def _counts(docs: DataFrame, bits: int) -> DataFrame:
-    """(kind, slice, low, over, more): partial counts of target and background; a byte for each class, and what is over 255."""
-
-    def sent(table: np.ndarray, kind: int) -> Iterator[dict]:
-        small = np.minimum(table, 255).astype(np.uint8)
-        for s, (part, low) in enumerate(zip(np.array_split(table, SLICES), np.array_split(small, SLICES), strict=True)):
-            over = np.flatnonzero(part >= 255)
-            if low.any():
-                yield {"kind": kind, "slice": s, "low": zstandard.compress(low.tobytes(), 1), "over": over.astype(np.int32).tobytes(), "more": (part[over] - 255).astype(np.int64).tobytes()}
+    h = Rolling(words.data.astype(np.uint64) + np.uint64(1), BASES[0])(words.starts, words.ends)
+    before = np.empty_like(h)
+    before[1:] = h[:-1]
+    n = np.diff(words.first)
+    before[words.first[:-1][n > 0]] = np.uint64(BASES[1])
+    return before, h, n
+
+
+class Chunk:
+    """Documents coded as positions in ``keys``, which are sorted."""
+
+    def __init__(self, before: np.ndarray, word: np.ndarray, n: np.ndarray, good: np.ndarray):
+        pairs, first, self.seq = np.unique(mix(before * np.uint64(BASES[0]) + word), return_index=True, return_inverse=True)
+        words, word_of = np.unique(word[first], return_inverse=True)
+        contexts, context_of = np.unique(before[first], return_inverse=True)
+        counts = [np.bincount(seq, minlength=len(pairs)) for seq in (self.seq[np.repeat(good, n)], self.seq)]
+        keys = np.concatenate([pairs, mix(words ^ WORD), mix(contexts ^ CONTEXT)])
+        order = np.argsort(keys, kind="stable")
+        place = np.empty(len(keys), np.int32)
+        place[order] = np.arange(len(keys), dtype=np.int32)
+        self.n, self.good, self.keys = n, good, keys[order]
+        self.pair_at, self.word_at, self.context_at = place[: len(pairs)], place[len(pairs) :][word_of], place[len(pairs) + len(words) :][context_of]
+        self.is_word = np.zeros(len(keys), bool)
+        self.is_word[self.word_at] = True
+        self.counts = [np.concatenate([c, np.bincount(word_of, c, len(words)), np.bincount(context_of, c, len(contexts))]).astype(np.int64)[order] for c in counts]
+
+    def lists(self, bits: int) -> Iterator[tuple[int, bytes]]:
+        """(range, its keys, whether they are words, and their counts in good and in all documents)."""
+        of = (self.keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(self.keys), np.int64)
+        starts = np.flatnonzero(np.diff(of, prepend=-1))
+        for a, b in zip(starts, [*starts[1:], *[len(of)][: len(starts)]], strict=True):
+            steps = np.diff(self.keys[a:b], prepend=np.uint64(0))
+            yield int(of[a]), _packed(steps, np.packbits(self.is_word[a:b]), *(_narrow(c[a:b]) for c in self.counts))
+
+    def coded(self) -> bytes:
+        return _packed(self.seq.astype(np.int32), self.n, self.good, self.pair_at, self.word_at, self.context_at)
+
+
+def _encode(marked: DataFrame, names: list[str], bits: int) -> DataFrame:
+    """One row for each chunk (documents, coded, words, good_words) and one for each of its ranges (range, keys)."""
+
+    def rows_of(held: list[tuple], columns: list[pa.RecordBatch]) -> Iterator[dict]:
+        before, word, n, good = map(np.concatenate, zip(*held, strict=True))
+        name, chunk = uuid.uuid4().int >> 65, Chunk(before, word, n, good)
+        sink = pa.BufferOutputStream()
+        table = pa.Table.from_batches(columns)
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        yield {"chunk": name, "documents": zstandard.compress(sink.getvalue().to_pybytes(), 1), "coded": chunk.coded(), "words": int(n.sum()), "good_words": int(n[good].sum())}
+        for of, body in chunk.lists(bits):
+            yield {"chunk": name, "range": of, "keys": body, "words": 0, "good_words": 0}
+
+    schema = pa.schema([("chunk", pa.int64()), ("documents", pa.binary()), ("coded", pa.binary()), ("words", pa.int64()), ("good_words", pa.int64()), ("range", pa.int64()), ("keys", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.zeros(1 << b, np.int64) for b in (bits, bits, bits - 2, bits - 2)]
-        schema = pa.schema([("kind", pa.int32()), ("slice", pa.int32()), ("low", pa.binary()), ("over", pa.binary()), ("more", pa.binary())])
-        held = 0
+        held, columns, size = [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for kind, table in enumerate(tables):
-                for row in sent(table, kind):
-                    yield pa.RecordBatch.from_pylist([row], schema)
-                table[:] = 0
+            found: list[dict] = []
+            for row in rows_of(held, columns):
+                found.append(row)
+                if len(found) == 64:
+                    yield pa.RecordBatch.from_pylist(found, schema)
+                    found = []
+            if found:
+                yield pa.RecordBatch.from_pylist(found, schema)
 
         for piece in chunked(batches, "text"):
-            _, word, pair, rows = _classes(piece.column("text"), bits)
-            good = np.asarray(piece.column("target"), dtype=bool)[rows]
-            for k, (table, items) in enumerate(zip(tables, (pair[good], pair, word[good], word), strict=True)):
-                table += np.bincount(items, minlength=len(table)) if len(items) > len(table) >> 4 else 0
-                if len(items) <= len(table) >> 4:
-                    np.add.at(table, items, 1)
-            held += piece.column("text").nbytes
-            if held >= FLUSH:
+            held.append((*hashes(piece.column("text")), np.asarray(piece.column("target"), dtype=bool)))
+            columns.append(piece.select(names))
+            size += piece.column("text").nbytes
+            if size >= CHUNK:
                 yield from flush()
-                held = 0
+                held, columns, size = [], [], 0
         if held:
             yield from flush()
 
-    return docs.select("target", "text").mapInArrow(run, "kind int, slice int, low binary, over binary, more binary")
-
-
-def _summed(parts: DataFrame, bits: int) -> DataFrame:
-    """One dense row for each kind and slice; a group is bounded by the slice's size times the partial counts."""
+    return marked.mapInArrow(run, "chunk long, documents binary, coded binary, words long, good_words long, range long, keys binary")
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                size = 1 << (bits if r["kind"] < 2 else bits - 2)
-                table = sums.setdefault((r["kind"], r["slice"]), np.zeros(size // SLICES, np.int64))
-                table += np.frombuffer(zstandard.decompress(r["low"]), np.uint8)
-                table[np.frombuffer(r["over"], np.int32)] += np.frombuffer(r["more"], np.int64)
-        for (kind, s), table in sums.items():
-            yield pa.RecordBatch.from_pylist([{"kind": kind, "slice": s, "sums": np.minimum(table, 2**32 - 1).astype(np.uint32).tobytes()}], pa.schema([("kind", pa.int32()), ("slice", pa.int32()), ("sums", pa.binary())]))
 
-    return parts.repartition("kind", "slice").mapInArrow(add, "kind int, slice int, sums binary")
+def _totals(group: pa.Table) -> pa.Table:
+    """Of each list of a range, the counts over all lists, in the list's order; new_words: the range's distinct words, on one row."""
+    lists = [_unpacked(body) for body in group.column("keys").to_pylist()]
+    sizes = [len(x[0]) for x in lists]
+    keys, at = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in lists]), return_inverse=True)
+    word = np.concatenate([np.unpackbits(x[1], count=s).astype(bool) for x, s in zip(lists, sizes, strict=True)])
+    sums = [np.bincount(at, np.concatenate([x[k] for x in lists]).astype(float), len(keys)).astype(np.int64) for k in (2, 3)]
+    ends = np.cumsum(sizes)
+    bodies = [_packed(*(_narrow(s[at[b - n : b]]) for s in sums)) for n, b in zip(sizes, ends, strict=True)]
+    new = np.zeros(len(lists), np.int64)
+    new[0] = len(np.unique(at[word]))
+    return pa.table({"chunk": group.column("chunk"), "range": group.column("range"), "totals": pa.array(bodies, pa.binary()), "new_words": pa.array(new)})
 
 
-def learn(docs: DataFrame, bits: int = BITS) -> tuple[np.ndarray, ...]:
-    """Counts of bigram classes (target, background) and word classes (target, background): 10 * 2**bits bytes."""
-    tables = [np.zeros(1 << b, np.uint32) for b in (bits, bits, bits - 2, bits - 2)]
-    for r in _summed(_counts(docs, bits), bits).toLocalIterator():
-        width = len(tables[r["kind"]]) // SLICES
-        tables[r["kind"]][r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(bytes(r["sums"]), np.uint32)
-    return tuple(tables)
+def _own(rows: np.ndarray, items: np.ndarray, n_items: int) -> np.ndarray:
+    """How often each item occurs in its row."""
+    _, at, counts = np.unique(rows.astype(np.int64) * n_items + items, return_inverse=True, return_counts=True)
+    return counts[at]
 
 
-def _own(rows: np.ndarray, items: np.ndarray, among: np.ndarray, bits: int) -> np.ndarray:
-    """How often each item occurs in its row, among the row's ``among``."""
-    held, wanted = np.sort((rows << bits) | among), (rows << bits) | items
-    return np.searchsorted(held, wanted, "right") - np.searchsorted(held, wanted, "left")
-
-
-def losses(text: pa.Array, target: np.ndarray, tables: tuple[np.ndarray, ...], totals: tuple[int, int], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, target loss, background loss) of each row, in nats a word."""
-    before, word, pair, rows = _classes(text, bits)
-    n = np.bincount(rows, minlength=len(text))
-    own_pair, own_word, own_before = _own(rows, pair, pair, bits), _own(rows, word, word, bits), _own(rows, before, word, bits)
+def losses(coded: bytes, totals: list[np.ndarray], seen: tuple[int, int], vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, target loss, background loss) of each row of a chunk, in nats a word."""
+    seq, n, good, pair_at, word_at, context_at = _unpacked(coded)
+    rows = np.repeat(np.arange(len(n)), n)
+    at = [place[seq] for place in (pair_at, context_at, word_at)]
+    own = [_own(rows, x, len(totals[0]) + 1) for x in at]
     out = []
-    for k, held in ((0, target[rows]), (1, np.ones(len(rows), bool))):
-        c12 = np.maximum(tables[k][pair] - own_pair * held, 0)
-        c1 = np.maximum(tables[2 + k][before] - own_before * held, c12)
-        c2 = np.maximum(tables[2 + k][word] - own_word * held, 0)
-        total = np.maximum(totals[k] - n[rows] * held, 0)
-        base = (c2 + ADDED) / (total + ADDED * len(tables[2 + k]))
+    for total, held, words in zip(totals, (good, np.ones(len(n), bool)), seen, strict=True):
+        c12, c1, c2 = (total[x].astype(np.int64) - o * held[rows] for x, o in zip(at, own, strict=True))
+        base = (c2 + ADDED) / ((words - n * held)[rows] + ADDED * vocabulary)
         p = np.where(c1 > 0, BIGRAM * c12 / np.maximum(c1, 1) + (1 - BIGRAM) * base, base)
-        out.append(np.bincount(rows, -np.log(p), len(text)) / np.maximum(n, 1))
-    return n, out[0], out[1]
+        out.append(np.bincount(rows, -np.log(p), len(n)) / np.maximum(n, 1))
+    return n, *out
 
 
-def score(docs: DataFrame, target: DataFrame, *columns: str, bits: int = BITS) -> DataFrame:
+def score(docs: DataFrame, target: DataFrame, *columns: str) -> DataFrame:
     """doc_id, ``columns``, n_words, target_loss, background_loss and their difference for every row.
 
     ``target`` holds the doc_id of the documents to be like.  Losses are nats a word, 0
@@ -136,17 +175,27 @@ def score(docs: DataFrame, target: DataFrame, *columns: str, bits: int = BITS) -
     that repeats in ``docs`` each time.  Other columns are ignored; empty tables give
     empty results.
     """
-    good = target.select("doc_id").where("doc_id is not null").distinct().withColumn("_good", F.lit(True))
-    marked = docs.select("doc_id", *columns, F.col("text").cast("binary").alias("text")).join(good.hint("shuffle_hash"), "doc_id", "left").withColumn("target", F.coalesce("_good", F.lit(False))).drop("_good")
-    tables = learn(marked, bits)
-    totals = int(tables[2].sum(dtype=np.int64)), int(tables[3].sum(dtype=np.int64))
-    sent = docs.sparkSession.sparkContext.broadcast(tables)  # 10 * 2**bits bytes, whatever the input
-    names = ["doc_id", *columns]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in chunked(batches, "text"):
-            n, t, b = losses(piece.column("text"), np.asarray(piece.column("target"), dtype=bool), sent.value, totals, bits)
-            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), pa.array(n), pa.array(t), pa.array(b), pa.array(t - b)], names=[*names, "n_words", "target_loss", "background_loss", "difference"])
-
+    scratch, names = Scratch(docs.sparkSession), ["doc_id", *columns]
+    marks = target.select("doc_id").where("doc_id is not null").distinct().withColumn("_good", F.lit(True))
+    marked = docs.select(*names, F.col("text").cast("binary").alias("text")).join(marks.hint("shuffle_hash"), "doc_id", "left").withColumn("target", F.coalesce("_good", F.lit(False))).drop("_good")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = scratch.keep(_encode(marked, names, (size // RANGE).bit_length()), "chunks")
+    lists = parts.where("keys is not null").select("chunk", "range", "keys")
+    answers = scratch.keep(lists.groupBy("range").applyInArrow(_totals, "chunk long, range long, totals binary, new_words long"), "totals")
+    words, good_words = parts.agg(F.sum("words"), F.sum("good_words")).first()
+    seen, vocabulary = (good_words or 0, words or 0), max(1, answers.agg(F.sum("new_words")).first()[0] or 0)
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.select(*names).schema)
-    return marked.mapInArrow(run, f"{head}, n_words long, target_loss double, background_loss double, difference double")
+
+    def scored(chunks: pa.Table, found: pa.Table) -> pa.Table:
+        out = []
+        answered = [_unpacked(body) for body in found.sort_by("range").column("totals").to_pylist()]
+        totals = [np.concatenate([a[k].astype(np.int64) for a in answered]) if answered else np.zeros(0, np.int64) for k in (0, 1)]
+        for documents, coded in zip(chunks.column("documents").to_pylist(), chunks.column("coded").to_pylist(), strict=True):
+            table = pa.ipc.open_stream(zstandard.decompress(documents)).read_all()
+            n, t, b = losses(coded, totals, seen, vocabulary)
+            out.append(pa.table([*table.columns, pa.array(n), pa.array(t), pa.array(b), pa.array(t - b)], names=[*names, "n_words", "target_loss", "background_loss", "difference"]))
+        return pa.concat_tables(out)
+
+    chunks = parts.where("coded is not null").select("chunk", "documents", "coded")
+    both = chunks.groupBy("chunk").cogroup(answers.select("chunk", "range", "totals").groupBy("chunk"))
+    return both.applyInArrow(scored, f"{head}, n_words long, target_loss double, background_loss double, difference double")

@@ -247,28 +247,34 @@ def test_notices_side_by_side():
     assert [(x["licence"], x["first_word"]) for x in licences.find(text, tuple(licences.TEMPLATES))] == [("MIT", 0), ("CC-BY-NC-4.0", 5), ("CC-BY-4.0", 10)]
 
 
-def test_cross_entropy_difference(spark):
+@pytest.mark.parametrize("chunk", [200, 1 << 24])
+def test_cross_entropy_difference(spark, monkeypatch, chunk):
     from paperloom.llm import lm
 
-    rng, bits = random.Random(9), 10  # few classes: the fixture has six words
-    rows = [(i, sentence(rng, 30, ["good", "fine", "well"] if i % 2 else ["bad", "poor", "ill"])) for i in range(40)] + [(50, None), (51, "")]
-    target = spark.createDataFrame([(i,) for i in range(1, 20, 2)] * 2, "doc_id long")
-    found = {r.doc_id: r for r in lm.score(docs(spark, rows), target, bits=bits).collect()}
-    assert len(found) == len(rows) and found[50].n_words == 0 and found[51].difference == 0
-    assert all((found[i].difference < 0) == bool(i % 2) for i in range(40))
-    # brute force, with the same classes: all counts but the document's own
-    column = pa.array([(t or "").encode() for _, t in rows], pa.binary())
-    before, word, pair, at = lm._classes(column, bits)
-    good = {i for i in range(1, 20, 2)}
-    for r in (1, 2, 25):
+    rng = random.Random(9)
+    monkeypatch.setattr(lm, "CHUNK", chunk)  # many chunks and ranges, or few
+    monkeypatch.setattr(lm, "RANGE", chunk)
+    rows = [(i, sentence(rng, 30, ["Good", "fine", "well", "é"] if i % 2 else ["bad", "poor", "ill", "é"])) for i in range(40)] + [(50, None), (51, ""), (52, "once"), (53, "good, good"), (3, "fine ill")]
+    target = spark.createDataFrame([(i,) for i in [*range(1, 20, 2), 53]] * 2 + [(None,)], "doc_id long")
+    found = lm.score(docs(spark, rows), target, "u").collect()
+    assert len(found) == len(rows) and all(r.u == "x" for r in found)
+    held = {i for i in [*range(1, 20, 2), 53]}
+    said = [regex.findall(r"[\p{L}\d]+", (t or "").lower()) for _, t in rows]
+    vocabulary = len({w for ws in said for w in ws})
+    want = []
+    for r, ws in enumerate(said):
         loss = []
-        for held in (lambda i: rows[i][0] in good, lambda i: True):
-            other = [k for k in range(len(at)) if held(at[k]) and at[k] != r]
+        for kept in (lambda i: rows[i][0] in held, lambda i: True):  # all counts but the document's own
+            other = [[None, *said[k]] for k in range(len(rows)) if k != r and kept(k)]
+            words = [w for x in other for w in x[1:]]
+            pairs, contexts = [p for x in other for p in zip(x, x[1:])], [c for x in other for c in x[:-1]]
             total = 0.0
-            for k in np.flatnonzero(at == r):
-                base = (sum(word[o] == word[k] for o in other) + lm.ADDED) / (len(other) + lm.ADDED * 2 ** (bits - 2))
-                c12 = sum(pair[o] == pair[k] for o in other)
-                c1 = max(c12, sum(word[o] == before[k] for o in other))
-                total -= np.log(lm.BIGRAM * c12 / c1 + (1 - lm.BIGRAM) * base if c1 else base)
-            loss.append(total / 30)
-        assert np.allclose(loss, [found[r].target_loss, found[r].background_loss], atol=1e-9)
+            for p in zip([None, *ws], ws):
+                base = (words.count(p[1]) + lm.ADDED) / (len(words) + lm.ADDED * vocabulary)
+                c1 = contexts.count(p[0])
+                total -= np.log(lm.BIGRAM * pairs.count(p) / c1 + (1 - lm.BIGRAM) * base if c1 else base)
+            loss.append(total / max(1, len(ws)))
+        want.append((rows[r][0], len(ws), *loss))
+    got = sorted((r.doc_id, r.n_words, r.target_loss, r.background_loss) for r in found)
+    assert np.allclose(got, sorted(want), atol=1e-9)
+    assert all((r.difference < 0) == bool(r.doc_id % 2) for r in found if r.doc_id < 40 and r.n_words == 30)
