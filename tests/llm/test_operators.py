@@ -267,7 +267,7 @@ def test_cross_entropy_difference(spark, monkeypatch, chunk):
         for kept in (lambda i: rows[i][0] in held, lambda i: True):  # all counts but the document's own
             other = [[None, *said[k]] for k in range(len(rows)) if k != r and kept(k)]
             words = [w for x in other for w in x[1:]]
-            pairs, contexts = [p for x in other for p in zip(x, x[1:])], [c for x in other for c in x[:-1]]
+            pairs, contexts = [p for x in other for p in zip(x, x[1:])], [c for x in other if x[1:] for c in x]
             total = 0.0
             for p in zip([None, *ws], ws):
                 base = (words.count(p[1]) + lm.ADDED) / (len(words) + lm.ADDED * vocabulary)
