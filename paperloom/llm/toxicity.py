@@ -92,19 +92,31 @@ class Sample:
     """Labelled texts as distinct tokens and bigrams, and the documents that hold them."""
 
     def __init__(self, text: pa.Array, toxic: np.ndarray):
-        parts, first_row = [], 0
-        for piece in chunked(iter([pa.RecordBatch.from_arrays([text], names=["text"])]), "text"):
-            *found, rows = tokens(piece.column("text"))
-            parts.append((*found, (rows + first_row).astype(np.int32)))
-            first_row += piece.num_rows
-        stream, pairs, before, self.rows = map(np.concatenate, zip(*parts, strict=True))
-        del parts
+        pieces = [b.column("text") for b in chunked(iter([pa.RecordBatch.from_arrays([text], names=["text"])]), "text")]
+        names, found = [], []
+        for piece in pieces:  # once for the distinct tokens and bigrams, once to code the texts, so that no array has all tokens as hashes
+            stream, pairs, before, _ = tokens(piece)
+            names.append(np.unique(stream))
+            keys, first = np.unique(pairs, return_index=True)
+            found.append((keys, stream[first], before[first]))
+        self.names = np.unique(np.concatenate(names))
+        keys, last, context = map(np.concatenate, zip(*found, strict=True))
+        del names, found
+        self.keys, first = np.unique(keys, return_index=True)
+        self.last, self.context = (_find(self.names, x[first]).astype(np.int32) for x in (last, context))  # of each bigram
+        del keys, last, context, first
+
+        coded, first_row = [], 0
+        for piece in pieces:
+            stream, pairs, _, rows = tokens(piece)
+            items = [_find(self.names, stream), _find(self.keys, pairs)]
+            held = [np.divmod(np.unique(x * len(piece) + rows), len(piece)) for x in items]
+            coded.append([items[1].astype(np.int32), (rows + first_row).astype(np.int32), *(x.astype(np.int32) for item, row in held for x in (item, row + first_row))])
+            first_row += len(piece)
+        self.pair_of, self.rows, *held = map(np.concatenate, zip(*coded, strict=True))
+        self.held = [held[:2], held[2:]]
         self.toxic = toxic.astype(bool)
-        self.names, self.token_of = np.unique(stream, return_inverse=True)
-        self.keys, first, self.pair_of = np.unique(pairs, return_index=True, return_inverse=True)
-        self.last, self.context = self.token_of[first], _find(self.names, before[first])  # of each bigram
         self.n = np.bincount(self.rows, minlength=len(toxic)).astype(float)
-        self.held = [np.divmod(np.unique(x.astype(np.int64) * len(toxic) + self.rows), len(toxic)) for x in (self.token_of, self.pair_of)]
 
     def ratios(self, used: np.ndarray, discount: float, rare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of tokens and of bigrams, learnt from the used documents: the ratios, and whether they are frequent enough."""
@@ -122,8 +134,8 @@ class Sample:
         return np.log(unigram[0] / unigram[1]), sum(singles) >= rare, np.log(bigram[0] / bigram[1]), sum(doubles) >= rare
 
     def sums(self, token_llr: np.ndarray, known: np.ndarray, pair_llr: np.ndarray, often: np.ndarray) -> np.ndarray:
-        llr = np.where(often[self.pair_of], pair_llr[self.pair_of], (token_llr * known)[self.token_of])
-        return np.bincount(self.rows, llr, len(self.toxic))
+        llr = np.where(often, pair_llr, (token_llr * known)[self.last])
+        return np.bincount(self.rows, llr[self.pair_of], len(self.toxic))
 
 
 def fit(text: pa.Array, toxic: np.ndarray, share: float, discount: float = DISCOUNT, rare: int = RARE, folds: int = 4) -> Model | None:
