@@ -3,10 +3,11 @@
 A word gives two tokens, its first letters and its whole form, so that a rare form of a
 known stem is still told by its stem.  One bigram model is learnt from toxic, one from
 ordinary documents.  Counts are of documents, so that one long document is one witness;
-they are discounted, and what that frees goes to the classes' unigrams, and below them to
-one distribution that both classes share.  A bigram that fewer than ``RARE`` documents of
-both classes together hold is told by its last token, and a token as rare by the shared
-distribution alone, so that chance counts say nothing.  The log-likelihood ratio of a
+they are discounted, and what that frees goes to the class's continuation counts, the
+number of tokens that a token follows, and below them to the continuation counts of both
+classes together, which the classes share.  Ratios of rare expressions are smoothed, not
+cut: one that n documents of both classes hold counts n**2 / (n**2 + ``RARE``**2), and a
+bigram leaves the rest to its last token.  The log-likelihood ratio of a
 document, divided by the root of its length, as chance grows, is mapped to a probability
 by a logistic fit on documents that the fitted models had not seen.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .shared import buffer_of, chunked, text_of
 from .words import BASES, LOWER, WORDLIKE, Rolling, find, mix
 
-#: Bound of the training sample, discount, documents below which a count is rare, bytes of a stem, and the score from which a document is toxic.
+#: Bound of the training sample, discount, documents at which a ratio counts half, bytes of a stem, and the score from which a document is toxic.
 PER_CLASS, DISCOUNT, RARE, STEM, THRESHOLD = 2_500, 0.25, 8, 4, 0.3
 
 
@@ -49,7 +50,7 @@ def tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Log-likelihood ratios of the bigrams and tokens that are not rare."""
+    """Smoothed log-likelihood ratios of the bigrams and tokens seen."""
 
     bigrams: np.ndarray
     bigram_llr: np.ndarray
@@ -118,24 +119,31 @@ class Sample:
         self.toxic = toxic.astype(bool)
         self.n = np.bincount(self.rows, minlength=len(toxic)).astype(float)
 
-    def ratios(self, used: np.ndarray, discount: float, rare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of tokens and of bigrams, learnt from the used documents: the ratios, and whether they are frequent enough."""
+    def ratios(self, used: np.ndarray, discount: float, rare: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ratios of tokens and of bigrams, learnt from the used documents and smoothed by how many hold them."""
         singles, doubles = ([np.bincount(item[used[row] & (self.toxic[row] == c)], minlength=n).astype(float) for c in (True, False)] for (item, row), n in zip(self.held, (len(self.names), len(self.keys)), strict=True))
-        shared = 1 / (len(self.names) + 1)
+
+        def continued(double: np.ndarray, below: np.ndarray | float) -> np.ndarray:
+            """Discounted numbers of contexts of each token, and what is below."""
+            follows = np.bincount(self.last, double > 0, len(self.names))
+            total = max(1.0, follows.sum())
+            return np.maximum(follows - discount, 0) / total + (discount * np.count_nonzero(follows) / total if follows.any() else 1.0) * below
+
+        shared = continued(sum(doubles), 1 / (len(self.names) + 1))
         unigram, bigram = [], []
-        for single, double in zip(singles, doubles, strict=True):
-            total = max(1.0, single.sum())
-            p = np.maximum(single - discount, 0) / total + (discount * np.count_nonzero(single) / total if single.any() else 1.0) * shared
+        for double in doubles:
+            p = continued(double, shared)
             follows = np.bincount(self.context, double, len(self.names) + 1)
             kinds = np.bincount(self.context, double > 0, len(self.names) + 1)
             left = np.where(follows > 0, discount * kinds / np.maximum(follows, 1), 1.0)
             unigram.append(p)
             bigram.append(np.maximum(double - discount, 0) / np.maximum(follows, 1)[self.context] + left[self.context] * p[self.last])
-        return np.log(unigram[0] / unigram[1]), sum(singles) >= rare, np.log(bigram[0] / bigram[1]), sum(doubles) >= rare
+        of_token, of_pair = (sum(n) ** 2 / (sum(n) ** 2 + max(rare, 1e-9) ** 2) for n in (singles, doubles))
+        tokens = of_token * np.log(unigram[0] / unigram[1])
+        return tokens, of_pair * np.log(bigram[0] / bigram[1]) + (1 - of_pair) * tokens[self.last]
 
-    def sums(self, token_llr: np.ndarray, known: np.ndarray, pair_llr: np.ndarray, often: np.ndarray) -> np.ndarray:
-        llr = np.where(often, pair_llr, (token_llr * known)[self.last])
-        return np.bincount(self.rows, llr[self.pair_of], len(self.toxic))
+    def sums(self, pair_llr: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, pair_llr[self.pair_of], len(self.toxic))
 
 
 def fit(text: pa.Array, toxic: np.ndarray, share: float, discount: float = DISCOUNT, rare: int = RARE, folds: int = 4) -> Model | None:
@@ -150,7 +158,7 @@ def fit(text: pa.Array, toxic: np.ndarray, share: float, discount: float = DISCO
     for k in range(folds):
         own = fold == k
         if len(np.unique(toxic[~own])) == 2:
-            x[own] = features(sample.sums(*sample.ratios(~own, discount, rare)), sample.n)[own]
+            x[own] = features(sample.sums(sample.ratios(~own, discount, rare)[1]), sample.n)[own]
     w, ridge = np.zeros(2), np.diag([1e-6, 1e-2])
     for _ in range(100):  # Newton's method with a small ridge
         p = sigmoid(x @ w)
@@ -160,8 +168,8 @@ def fit(text: pa.Array, toxic: np.ndarray, share: float, discount: float = DISCO
             break
     seen = toxic.mean()
     w[0] += np.log(share / (1 - share)) - np.log(seen / (1 - seen))
-    token_llr, known, pair_llr, often = sample.ratios(np.ones(len(toxic), bool), discount, rare)
-    return Model(sample.keys[often], pair_llr[often], sample.names[known], token_llr[known], w)
+    token_llr, pair_llr = sample.ratios(np.ones(len(toxic), bool), discount, rare)
+    return Model(sample.keys, pair_llr, sample.names, token_llr, w)
 
 
 def held_out(doc_id) -> object:
