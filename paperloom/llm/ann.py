@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by inner product, on a robust-pruned directed graph.
 
-Rows are dealt into shards of bounded size by a hash of their ids, and each shard builds
+Rows are dealt into shards of bounded rows and bytes, and each shard builds
 its own graph: greedy searches propose neighbours, and of these a point keeps those that
 no kept one is nearer to, by a relaxed factor, so that long and diverse edges stay.  A
 query runs a beam search on every shard, and the shards' best are merged.  An additional
@@ -11,14 +11,14 @@ the largest inner product.  Equal vectors are one node that stands for all their
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import best, matrix, packed, same_width, top_of, unpack, usable
+from .blocks import best, matrix, packed, queries_of, same_width, top_of, unpack, usable
 from .shared import Scratch
 
 #: Edges of a node, width of the beams that build and search, relaxation of the last pass.
@@ -28,6 +28,8 @@ SHARD_ROWS, SPREAD, LEAST_ROWS = 50_000, 12, 1_000
 #: Searches that run together; nodes that each expands in a step.
 TOGETHER, EXPANDED = 512, 4
 QUERIES = 2_048
+#: Bytes of a shard's vectors, and the largest id.
+SHARD_BYTES, LAST = 64 << 20, (1 << 63) - 1
 
 
 def beam_search(x: np.ndarray, edges: np.ndarray, entry: int, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,8 +154,14 @@ class Graph:
         edges, entry = build(lengthened(distinct))
         return cls(distinct, ids[order], np.searchsorted(which[order], np.arange(len(distinct) + 1)), edges, entry)
 
+    def best_ids(self, node: int, own: int, k: int) -> np.ndarray:
+        """The k smallest ids of a node other than ``own``; a node's ids are sorted."""
+        a, b = self.first[node], self.first[node + 1]
+        low, high = a + np.searchsorted(self.ids[a:b], [own, own + 1]) if own < LAST else (b, b)
+        return self.ids[a : min(b, a + k)] if low == high else np.concatenate([self.ids[a:low], self.ids[high:b]])[:k]
+
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, beam: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query, ids, scores) of each query's k best rows, itself apart."""
+        """(position of the query, ids, scores) of each query's k best rows, itself apart."""
         x = lengthened(self.rows)
         for at in range(0, len(queries), TOGETHER):
             q = queries[at : at + TOGETHER]
@@ -162,13 +170,11 @@ class Graph:
             for i, nodes in enumerate(found):
                 nodes = nodes[nodes >= 0]
                 scores = (self.rows[nodes] * q[i]).sum(axis=1)
-                # a node's smallest ids are its best; one more, for the query itself
-                take = [self.ids[self.first[v] : min(self.first[v + 1], self.first[v] + k + 1)] for v in nodes]
+                take = [self.best_ids(v, query_ids[at + i], k) for v in nodes]
                 scores = np.repeat(scores, [len(t) for t in take])
                 ids = np.concatenate(take) if take else np.zeros(0, np.int64)
-                other = ids != query_ids[at + i]
-                top = top_of(scores[other], ids[other], k)
-                yield query_ids[at + i], ids[other][top], scores[other][top]
+                top = top_of(scores, ids, k)
+                yield at + i, ids[top], scores[top]
 
 
 def lengthened(rows: np.ndarray) -> np.ndarray:
@@ -183,15 +189,18 @@ def search(table: DataFrame, k: int = 20, every: int = 20, beam: int = SEARCH_BE
 
     Every row is indexed.  Null, empty and zero vectors and those with null or non-finite
     components take no part, nor do rows without an id.  Rows that repeat a vec_id are
-    candidates each, but no row is one for a query with its own id.  Of vectors of
-    different lengths, the missing components count as zero.  Ties go to the smaller
-    vec_id.  Other columns are ignored.
+    candidates each, but no row is one for a query with its own id.  Query rows alike in
+    vec_id and vector are one query; those that share only a vec_id are one each, with
+    ranks of its own.  Of vectors of different lengths, the missing components count as
+    zero.  Ties go to the smaller vec_id.  Other columns are ignored; an empty table gives
+    an empty result.
     """
     scratch = Scratch(table.sparkSession)
     rows = usable(table).where(F.exists("embedding", lambda v: v != 0))
-    n = rows.count()
-    shards = max(-(-n // shard_rows), min(SPREAD, -(-n // LEAST_ROWS)), 1)
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    n, size = rows.agg(F.count(F.lit(1)), F.sum(8 * F.size("embedding").cast("long"))).first()
+    shards = max(-(-n // shard_rows), -(-(size or 0) // SHARD_BYTES), min(SPREAD, -(-n // LEAST_ROWS)), 1)
+    # by rows and not by ids, so that no id that many rows repeat fills a shard
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
 
     def build_shard(part: pa.Table) -> pa.Table:
         ids, x = matrix(part.select(["vec_id", "embedding"]).combine_chunks().to_batches()[0])
@@ -199,19 +208,27 @@ def search(table: DataFrame, k: int = 20, every: int = 20, beam: int = SEARCH_BE
         return pa.table({"shard": pa.array([part.column("shard")[0].as_py()], pa.int32()), "width": pa.array([x.shape[1]], pa.int32()), "entry": pa.array([g.entry], pa.int32()), "rows": pa.array([g.rows.tobytes()]), "ids": pa.array([g.ids.tobytes()]), "first": pa.array([g.first.astype(np.int64).tobytes()]), "edges": pa.array([g.edges.astype(np.int32).tobytes()])})
 
     graphs = scratch.keep(dealt.groupBy("shard").applyInArrow(build_shard, "shard int, width int, entry int, rows binary, ids binary, first binary, edges binary"), "graphs")
-    queries = packed(rows.where(F.pmod("vec_id", F.lit(every)) == 0).repartition(F.col("vec_id")), QUERIES, "q")
-    # a stated query set, in blocks, on every shard
-    pairs = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(graphs, "shard")
+    queries = packed(queries_of(rows, every), QUERIES, "q")
+    # a stated query set, in blocks, on every shard: a task reads a shard's graph once, then the blocks one by one
+    asked = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    both = graphs.withColumn("block", F.lit(0)).unionByName(asked.withColumn("block", F.lit(1)), allowMissingColumns=True)
+    lined = both.repartition(shards, "shard").sortWithinPartitions("shard", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, width = None, 0
         for batch in batches:
             for i in range(batch.num_rows):
                 r = batch.slice(i, 1).to_pylist()[0]
-                x = np.frombuffer(r["rows"], np.float64).reshape(-1, r["width"])
-                query_ids, q = unpack(r["q_ids"], r["q_rows"], r["q_width"])
-                q, x = same_width(q, x)
-                g = Graph(x, np.frombuffer(r["ids"], np.int64), np.frombuffer(r["first"], np.int64), np.frombuffer(r["edges"], np.int32).reshape(len(x), -1).astype(np.int64), r["entry"])
-                found = [(np.full(len(ids), query), ids, scores) for query, ids, scores in g.search(query_ids, q, k, beam)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
-
-    return best(pairs.mapInArrow(run, "query_id long, vec_id long, score double"), k)
+                if r["block"] == 0:
+                    x, width = np.frombuffer(r["rows"], np.float64).reshape(-1, r["width"]), r["width"]
+                    g = Graph(x, np.frombuffer(r["ids"], np.int64), np.frombuffer(r["first"], np.int64), np.frombuffer(r["edges"], np.int32).reshape(len(x), -1).astype(np.int64), r["entry"])
+                    continue
+                if g is None:
+                    continue
+                query_ids, keys, q = unpack(r, "q")
+                q, wide = same_width(q, g.rows)
+                here = g if wide.shape[1] == width else replace(g, rows=wide)
+                found = [(np.full(len(ids), query_ids[at]), np.full(len(ids), keys[at]), ids, scores) for at, ids, scores in here.search(query_ids, q, k, beam)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["query_id", "query_key", "vec_id", "score"])
+
+    return best(lined.mapInArrow(run, "query_id long, query_key long, vec_id long, score double"), k)

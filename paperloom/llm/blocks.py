@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -32,21 +33,42 @@ def matrix(batch: pa.RecordBatch, column: str = "embedding") -> tuple[np.ndarray
     return ids, out
 
 
+#: Bytes of vectors in a block at most.
+BLOCK_BYTES = 32 << 20
+
+
+def queries_of(rows: DataFrame, every: int) -> DataFrame:
+    """(vec_id, embedding, key): the rows whose vec_id is divisible by ``every``, alike ones once.
+
+    ``key`` tells apart the queries that share a vec_id.
+    """
+    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id", "embedding"])
+    return asked.withColumn("key", F.xxhash64("vec_id", "embedding"))
+
+
 def packed(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """(name_ids binary, name_rows binary, name_width int): up to ``size`` rows of a task in each row."""
+    """(name_ids binary, name_keys binary, name_rows binary, name_width int): rows of a task in blocks.
+
+    A block has up to ``size`` rows and ``BLOCK_BYTES`` bytes of vectors.  Keys are those of a column ``key``, if there is one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                ids, x = matrix(batch.slice(at, size))
-                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([x.shape[1]], pa.int32())], names=[f"{name}_ids", f"{name}_rows", f"{name}_width"])
+            widest = max(1, int(np.asarray(batch.column("embedding").value_lengths()).max(initial=0)))
+            step = max(1, min(size, BLOCK_BYTES // (8 * widest)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                ids, x = matrix(part)
+                keys = np.asarray(part.column("key"), dtype=np.int64) if "key" in part.schema.names else ids
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (ids, keys, x)] + [pa.array([x.shape[1]], pa.int32())], names=[f"{name}_ids", f"{name}_keys", f"{name}_rows", f"{name}_width"])
 
-    return rows.mapInArrow(run, f"{name}_ids binary, {name}_rows binary, {name}_width int")
+    return rows.mapInArrow(run, f"{name}_ids binary, {name}_keys binary, {name}_rows binary, {name}_width int")
 
 
-def unpack(ids: bytes, rows: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(ids, np.int64)
-    return ids, np.frombuffer(rows, np.float64).reshape(len(ids), width)
+def unpack(r: dict, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, keys, vectors) of a block."""
+    ids, keys = (np.frombuffer(r[f"{name}_{c}"], np.int64) for c in ("ids", "keys"))
+    return ids, keys, np.frombuffer(r[f"{name}_rows"], np.float64).reshape(len(ids), r[f"{name}_width"])
 
 
 def same_width(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,10 +77,8 @@ def same_width(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
-    """The k highest scores of each query_id, ties to the smaller vec_id, with rank from 1."""
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    """The k highest scores of each query, ties to the smaller vec_id, with rank from 1."""
+    order = W.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -12,12 +12,13 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,18 +79,35 @@ def best_fit(lengths: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndar
 
 
 @lru_cache(maxsize=2)
-def coder(path: str) -> Coder:
-    """Ids of the tokenizers library; strings of special tokens in a text are ordinary text."""
+def coder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """Ids of a column's rows by the tokenizers library, one after another, and the row offsets in them.
+
+    Rows that hold the string of an added token are coded whole, as the library cuts a text at
+    those before anything else; of all others each distinct pre-token is coded once.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
+    added = [t.content for t in model.get_added_tokens_decoder().values()]
 
     def encode(words: list[bytes]) -> list[bytes]:
         return [np.array(x.ids, np.int32).tobytes() for x in model.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
-    return Coder(encode)
+    plain = Coder(encode)
+
+    def code(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        odd = np.zeros(len(column), bool)
+        for content in added:
+            odd |= np.asarray(pc.fill_null(pc.match_substring(column, content), False))
+        if not odd.any():
+            return plain(column)
+        flat, first = plain(pc.if_else(pa.array(odd), pa.scalar(b"", column.type), column))
+        whole = {r: np.array(model.encode(column[r].as_py().decode(), add_special_tokens=False).ids, np.int32) for r in np.flatnonzero(odd).tolist()}
+        parts = [whole[r] if odd[r] else flat[first[r] : first[r + 1]] for r in range(len(column))]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+    return code
 
 
 def pieces(docs: DataFrame, path: str, size: int = SIZE, ids: bool = False) -> DataFrame:
@@ -125,7 +143,8 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, ids: bool =
     empty table gives none.
     """
     cut = pieces(docs, path or public_tokenizers.path("byte_bpe_50k.json"), size, ids)
-    dealt = cut.repartition(F.xxhash64("doc_id", "start", "ids_crc32"))
+    # in an order of its own, so that a task that runs again packs alike
+    dealt = cut.repartition(F.xxhash64("doc_id", "start", "ids_crc32")).sortWithinPartitions("ids_crc32", "start", "doc_id")
 
     def packed(table: pa.Table, base: int) -> tuple[pa.Table, int]:
         length = np.asarray(table.column("length"))

@@ -75,16 +75,17 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM j
 """,
     "op6_topk": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  SELECT vec_id, embedding, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-t AS (SELECT vec_id, unnest(x) AS w, generate_subscripts(x, 1) AS d FROM v),
+c AS (SELECT vec_id, r, unnest(x) AS w, generate_subscripts(x, 1) AS d FROM (SELECT *, row_number() OVER () AS r FROM v)),
+q AS (SELECT vec_id, r, unnest(x) AS w, generate_subscripts(x, 1) AS d FROM (SELECT *, row_number() OVER () AS r FROM (SELECT DISTINCT vec_id, embedding, x FROM v WHERE vec_id % 20 = 0))),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.w * c.w) AS BIGINT) AS score
-  FROM t q JOIN t c ON q.d = c.d AND q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
-  GROUP BY q.vec_id, c.vec_id),
-k AS (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+  SELECT q.vec_id AS query_id, q.r AS query, c.vec_id AS vec_id, CAST(sum(q.w * c.w) AS BIGINT) AS score
+  FROM q JOIN c ON q.d = c.d AND q.vec_id <> c.vec_id
+  GROUP BY q.vec_id, q.r, c.vec_id, c.r),
+k AS (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id, query ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 20
 """,
 }

@@ -61,6 +61,15 @@ def test_simhash_groups(spark, limit):
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.fp % 2**64, r.component_id) for r in found) == want
 
 
+def test_packing_codes_added_tokens_like_the_library(spark):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(1, "a <|endoftext|> b"), (None, "plain é"), (3, "<|endoftext|>" * 3), (3, "repeated id")]
+    found = packing.pack(docs(spark, rows), ids=True).collect()
+    assert sorted(np.frombuffer(r.ids, "<u4").tolist() for r in found) == sorted([*model.encode(t, add_special_tokens=False).ids, 0] for _, t in rows)
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     assert simhash.near_duplicates(none).count() == 0
@@ -199,6 +208,50 @@ def test_nearest(spark):
     assert len(found) == 300 and hits >= 0.9 * 300
 
 
+def test_repeated_query_rows(spark):
+    """Alike query rows are one query, unlike ones of an id two; no candidate comes twice for it."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(60, 4))
+    rows = [(i, x[i].tolist(), 1) for i in range(60)] + [(20, x[20].tolist(), 1), (40, x[0].tolist(), 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int").repartition(3)
+    for search, score in ((topk.search, lambda a, b: int(np.floor(64 * np.array(a)).astype(int) @ np.floor(64 * np.array(b)).astype(int))), (ann.search, lambda a, b: float((np.array(a) * np.array(b)).sum()))):
+        want = []
+        for q, v in {(i, tuple(v)) for i, v, _ in rows if i % 20 == 0}:
+            best = sorted((-score(v, w), j) for j, w, _ in rows if j != q)[:20]
+            want += [(q, k + 1, j, round(-s, 9)) for k, (s, j) in enumerate(best)]
+        assert sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in search(table).collect()) == sorted(want)
+
+
+def test_nearest_behind_many_rows_of_the_query(spark):
+    rows = [(20, [1.0, 0.5])] * 25 + [(21, [1.0, 0.5]), (22, [0.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    assert [(r.rank, r.vec_id) for r in ann.search(table).collect()] == [(1, 21), (2, 22)]
+
+
+def test_many_shards(spark):
+    """Several shards, vectors of different lengths, and an empty table."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(900, 6))
+    x[:, 4:][::3] = 0
+    rows = [(i, v[:4].tolist() if i % 3 == 0 else v.tolist()) for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for search in (lambda t: ann.search(t, shard_rows=200), topk.search):
+        found, hits = {}, 0
+        for r in search(table).collect():
+            found.setdefault(r.query_id, []).append(r.vec_id)
+        for q in range(0, 900, 20):
+            scores = x @ x[q] if search is not topk.search else np.floor(64 * x) @ np.floor(64 * x[q])
+            best = sorted((-s, j) for j, s in enumerate(scores) if j != q)[:20]
+            hits += len({j for _, j in best} & set(found[q]))
+        assert hits >= (0.9 if search is not topk.search else 1) * 45 * 20
+        assert search(table.limit(0)).count() == 0
+
+
+def test_scores_beyond_a_long(spark):
+    table = spark.createDataFrame([(20, [1e300, 1.0]), (1, [1e300, 1.0]), (2, [-1e300, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk.search(table).collect()] == [(1, (1 << 63) - 1), (2, -(1 << 63))]
+
+
 def test_partition_selection():
     rng = np.random.default_rng(7)
     scores, ids = rng.integers(0, 5, 200), rng.permutation(200)
