@@ -2,7 +2,8 @@
 
 Each round is two shuffles of the edges, whose number never grows; the number of
 rounds is about the logarithm of the longest path.  Edges never reach the driver,
-only their number and a checksum.
+only their number and a checksum.  The edges of a node that very many have are
+not sent to one task.
 """
 
 from __future__ import annotations
@@ -10,19 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, attach, share
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, limit: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return attach(both.where("v > u"), least, ["u"], limit, F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, limit: int) -> DataFrame:
     """``edges`` have u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = attach(edges, least, ["u"], limit, F.col("v")).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -35,7 +36,8 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
         if mark == told or not mark[0]:
             break
         told, old = mark, now
-        now = scratch.keep(_small(_large(now)), "edges")
+        limit = share(edges.sparkSession, 2 * mark[0])
+        now = scratch.keep(_small(_large(now, limit), limit), "edges")
         scratch.drop(old)
     else:
         raise RuntimeError(f"no components after {most_rounds} rounds")

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a kernel handles at once; a longer document is handled alone.
@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder shared by the cluster")
         found = "file://" + tempfile.mkdtemp(prefix="paperloom-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -102,3 +102,25 @@ def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch],
 def text_of(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns and ``text`` as UTF-8 bytes, without the cost of Python strings."""
     return docs.select(*columns, F.col("text").cast("binary").alias("text"))
+
+
+def share(spark: SparkSession, total: int) -> int:
+    """Rows of one key beyond which it is hot: a quarter of a task's share of ``total`` rows."""
+    return max(1, total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def attach(rows: DataFrame, of: DataFrame, keys: list[str], limit: int, by: Column) -> DataFrame:
+    """``rows`` with the columns of ``of`` that has one row for each key, and in ``n`` the key's number of rows; those without one go.
+
+    Keys of more than ``limit`` rows are broadcast: of these there are at most the number of
+    rows through ``limit``, with :func:`share` four for each shuffle partition, at any size of
+    the data.  Their rows have then found their values and are dealt by a hash of ``by``, so
+    that no task gets all rows of a key.  The other keys are joined by shuffling.
+    """
+    values = [c for c in of.columns if c not in keys]
+    hot = F.broadcast(of.where(F.col("n") > limit).select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.struct(*values).alias("_hot")))
+    found = rows.join(hot, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left").drop(*(f"_k_{k}" for k in keys))
+    found = found.withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.xxhash64(by)).otherwise(F.lit(0).cast("long")))
+    cold = of.where(F.col("n") <= limit).select(*keys, F.lit(0).cast("long").alias("_salt"), F.struct(*values).alias("_cold"))
+    out = found.join(cold, [*keys, "_salt"], "left").withColumn("_of", F.coalesce("_hot", "_cold")).where("_of is not null")
+    return out.select(*rows.columns, *(F.col(f"_of.{c}").alias(c) for c in values))

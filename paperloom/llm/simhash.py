@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import Scratch, text_of
+from .shared import Scratch, attach, chunked, share, text_of
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 2
 #: Distinct fingerprints under one key beyond which centres replace pairs; both ways are exact.
@@ -52,24 +52,24 @@ def fingerprints(docs: DataFrame, *columns: str) -> DataFrame:
     schema = kept.drop("text").schema.add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = np.array([fingerprint(x) for x in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
+        for batch in chunked(batches, "text"):
+            fp = np.array([fingerprint(x.as_py()) for x in batch.column("text")], dtype=np.uint64).view(np.int64)
             at = batch.schema.get_field_index("text")
             yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), pa.array(fp)], names=[*(n for n in batch.schema.names if n != "text"), "fp"])
 
     return kept.mapInArrow(run, schema)
 
 
-def links(nodes: DataFrame, scratch: Scratch, limit: int = PAIRWISE_LIMIT) -> DataFrame:
+def links(nodes: DataFrame, rows: int, scratch: Scratch, limit: int = PAIRWISE_LIMIT) -> DataFrame:
     """Pairs (u, v) of distinct fingerprints whose groups are those of all pairs within two bits.
 
-    ``nodes`` has one row for each distinct ``fp``.
+    ``nodes`` has one row for each distinct ``fp``, ``rows`` at most.
     """
     block = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
     keys = [F.lit(t << 32).bitwiseOR(F.shiftleft(block[a], 16)).bitwiseOR(block[b]) for t, (a, b) in enumerate(combinations(range(4), 2))]
     filed = nodes.select("fp", F.explode(F.array(*keys)).alias("key"))
     shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = scratch.keep(filed.join(shared, "key"), "members")
+    members = scratch.keep(attach(filed, shared, ["key"], share(nodes.sparkSession, len(keys) * rows), F.col("fp")), "members")
 
     few = members.where(F.col("n") <= limit).select("key", "fp")
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS
@@ -94,9 +94,12 @@ def near_duplicates(docs: DataFrame, limit: int = PAIRWISE_LIMIT) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     marked = scratch.keep(fingerprints(docs, "doc_id"), "fingerprints")
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes.select("fp"), scratch, limit), scratch)  # (node, root)
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = placed.join(ids, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    rows = marked.count()
+    hot = share(docs.sparkSession, rows)
+    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    roots = components(links(nodes.select("fp"), rows, scratch, limit), scratch)  # (node, root)
+    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.col("n").alias("rows"), F.coalesce("root", "fp").alias("root"))
+    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    classes = attach(placed, ids, ["root"], hot, F.col("fp")).select("fp", "component_id", F.col("rows").alias("n"))
+    # a fingerprint that very many rows have is not sent to one task
+    return attach(marked, classes, ["fp"], hot, F.monotonically_increasing_id()).select("doc_id", "fp", "component_id")
