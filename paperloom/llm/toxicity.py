@@ -6,14 +6,16 @@ ordinary documents.  Counts are of documents, so that one long document is one w
 they are discounted, and what that frees goes to the class's continuation counts, the
 number of tokens that a token follows, and below them to the continuation counts of both
 classes together, which the classes share.  Ratios of rare expressions are smoothed, not
-cut: one that n documents of both classes hold counts n**2 / (n**2 + ``RARE``**2), and a
-bigram leaves the rest to its last token.  The log-likelihood ratio of a
-document, divided by the root of its length, as chance grows, is mapped to a probability
-by a logistic fit on documents that the fitted models had not seen.
-
-The models are learnt in one task from at most ``per_class`` labelled documents of each
-class, as many of one as of the other (those of least hash), so their size is bounded;
-every document is scored, whole.
+cut: one that n documents of both classes hold counts n**2 / (n**2 + r**2), and a
+bigram leaves the rest to its last token.  The log-likelihood ratio of a document, divided
+by a power of its length, is mapped to a probability by a logistic fit on documents that
+the fitted models had not seen.  r and the power (1: per token; 1/2: as chance grows) are
+those of ``RARE`` and ``POWERS`` that foretell such documents best, by cross-validation
+inside the rows that may be learnt from.
+
+The models are learnt in one task from at most ``per_class`` labelled documents and
+``BYTES`` bytes of text of each class, as many of one as of the other (those of least
+hash), so their size is bounded; every document is scored, whole.
 """
 
 from __future__ import annotations
@@ -25,13 +27,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import buffer_of, chunked, text_of
+from .shared import buffer_of, chunked, give_back, text_of
 from .words import BASES, LOWER, WORDLIKE, Rolling, find, mix
 
-#: Bound of the training sample, discount, documents at which a ratio counts half, bytes of a stem, and the score from which a document is toxic.
-PER_CLASS, DISCOUNT, RARE, STEM, THRESHOLD = 2_500, 0.25, 8, 4, 0.3
+#: Bounds of the training sample of a class, discount, bytes of a stem, and the score from which a document is toxic.
+PER_CLASS, BYTES, DISCOUNT, STEM, THRESHOLD = 2_500, 32 << 20, 0.25, 4, 0.3
+#: Tried: documents at which a ratio counts half, and powers of the length.
+RARE, POWERS = (0, 2, 4, 8, 16), (0.5, 1.0)
 
 
 def tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,6 +62,7 @@ class Model:
     unigrams: np.ndarray
     unigram_llr: np.ndarray
     weights: np.ndarray
+    power: float
 
     def sums(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ratio and number of tokens of each row."""
@@ -68,7 +74,7 @@ class Model:
         return np.bincount(rows, llr, len(text)), np.bincount(rows, minlength=len(text)).astype(float)
 
     def score(self, text: pa.Array) -> np.ndarray:
-        return sigmoid(features(*self.sums(text)) @ self.weights)
+        return sigmoid(features(*self.sums(text), self.power) @ self.weights)
 
 
 def _find(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -80,9 +86,8 @@ def _find(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return at
 
 
-def features(sums: np.ndarray, n: np.ndarray) -> np.ndarray:
-    n = np.maximum(n, 1)
-    return np.column_stack([np.ones(len(n)), sums / np.sqrt(n)])
+def features(sums: np.ndarray, n: np.ndarray, power: float) -> np.ndarray:
+    return np.column_stack([np.ones(len(n)), sums / np.maximum(n, 1) ** power])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -119,8 +124,8 @@ class Sample:
         self.toxic = toxic.astype(bool)
         self.n = np.bincount(self.rows, minlength=len(toxic)).astype(float)
 
-    def ratios(self, used: np.ndarray, discount: float, rare: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ratios of tokens and of bigrams, learnt from the used documents and smoothed by how many hold them."""
+    def ratios(self, used: np.ndarray, discount: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Log ratios of tokens and of bigrams, learnt from the used documents, and how many of those hold them."""
         singles, doubles = ([np.bincount(item[used[row] & (self.toxic[row] == c)], minlength=n).astype(float) for c in (True, False)] for (item, row), n in zip(self.held, (len(self.names), len(self.keys)), strict=True))
 
         def continued(double: np.ndarray, below: np.ndarray | float) -> np.ndarray:
@@ -138,15 +143,32 @@ class Sample:
             left = np.where(follows > 0, discount * kinds / np.maximum(follows, 1), 1.0)
             unigram.append(p)
             bigram.append(np.maximum(double - discount, 0) / np.maximum(follows, 1)[self.context] + left[self.context] * p[self.last])
-        of_token, of_pair = (sum(n) ** 2 / (sum(n) ** 2 + max(rare, 1e-9) ** 2) for n in (singles, doubles))
-        tokens = of_token * np.log(unigram[0] / unigram[1])
-        return tokens, of_pair * np.log(bigram[0] / bigram[1]) + (1 - of_pair) * tokens[self.last]
+        return [np.log(x[0] / x[1]) for x in (unigram, bigram)], [sum(singles), sum(doubles)]
+
+    def smoothed(self, ratios: list[np.ndarray], n: list[np.ndarray], rare: float) -> tuple[np.ndarray, np.ndarray]:
+        """Of tokens and of bigrams; a bigram leaves to its last token what it doesn't count."""
+        of_token, of_pair = (x**2 / (x**2 + max(rare, 1e-9) ** 2) for x in n)
+        tokens = of_token * ratios[0]
+        return tokens, of_pair * ratios[1] + (1 - of_pair) * tokens[self.last]
 
     def sums(self, pair_llr: np.ndarray) -> np.ndarray:
         return np.bincount(self.rows, pair_llr[self.pair_of], len(self.toxic))
 
 
-def fit(text: pa.Array, toxic: np.ndarray, share: float, discount: float = DISCOUNT, rare: int = RARE, folds: int = 4) -> Model | None:
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights by Newton's method with a small ridge, and the mean loss."""
+    w, ridge = np.zeros(2), np.diag([1e-6, 1e-2])
+    for _ in range(100):
+        p = sigmoid(x @ w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
+        w += np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-8:
+            break
+    p = np.clip(sigmoid(x @ w), 1e-12, 1 - 1e-12)
+    return w, float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+
+
+def fit(text: pa.Array, toxic: np.ndarray, share: float, discount: float = DISCOUNT, folds: int = 4) -> Model | None:
     """Models of all rows, and weights from rows scored by models of the other folds.
 
     ``share`` is the share of toxic documents where scores will be used.
@@ -154,22 +176,19 @@ def fit(text: pa.Array, toxic: np.ndarray, share: float, discount: float = DISCO
     if len(np.unique(toxic)) < 2:
         return None
     sample = Sample(text, toxic)
-    fold, x = np.arange(len(toxic)) % folds, np.zeros((len(toxic), 2))
+    fold, sums = np.arange(len(toxic)) % folds, {r: np.zeros(len(toxic)) for r in RARE}
     for k in range(folds):
         own = fold == k
         if len(np.unique(toxic[~own])) == 2:
-            x[own] = features(sample.sums(sample.ratios(~own, discount, rare)[1]), sample.n)[own]
-    w, ridge = np.zeros(2), np.diag([1e-6, 1e-2])
-    for _ in range(100):  # Newton's method with a small ridge
-        p = sigmoid(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (toxic - p) - ridge @ w)
-        w += np.clip(step, -1, 1)
-        if np.abs(step).max() < 1e-8:
-            break
+            learnt = sample.ratios(~own, discount)
+            for r in RARE:
+                sums[r][own] = sample.sums(sample.smoothed(*learnt, r)[1])[own]
+    tried = [(*logistic(features(sums[r], sample.n, power), toxic), r, power) for r in RARE for power in POWERS]
+    w, _, rare, power = min(tried, key=lambda x: x[1])
     seen = toxic.mean()
     w[0] += np.log(share / (1 - share)) - np.log(seen / (1 - seen))
-    token_llr, pair_llr = sample.ratios(np.ones(len(toxic), bool), discount, rare)
-    return Model(sample.keys, pair_llr, sample.names, token_llr, w)
+    token_llr, pair_llr = sample.smoothed(*sample.ratios(np.ones(len(toxic), bool), discount), rare)
+    return Model(sample.keys, pair_llr, sample.names, token_llr, w, power)
 
 
 def held_out(doc_id) -> object:
@@ -186,6 +205,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     picked = [marked.where(F.col("toxic") == c).withColumn("h", F.xxhash64(F.col("doc_id").cast("string"))).orderBy("h", "doc_id").limit(most) for c in (0, 1)]
     ids = F.broadcast(picked[0].union(picked[1]))  # at most 2 * per_class rows
     rows = text_of(docs, "doc_id").join(ids, "doc_id").select("text", "toxic", "h")
+    before = W.partitionBy("toxic").orderBy("h").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.sum(F.octet_length("text")).over(before)).where(F.coalesce("before", F.lit(0)) < BYTES).drop("before")
     prior = min(max(share, 1e-6), 1 - 1e-6)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,6 +214,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
             table = pa.Table.from_batches(held)
             table = table.take(pa.array(np.argsort(np.asarray(table.column("h")), kind="stable")))
             model = fit(table.column("text").combine_chunks(), np.asarray(table.column("toxic"), dtype=np.int64), prior)
+            del held, table
+            give_back()
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     found = rows.repartition(1).mapInArrow(run, "model binary").collect()  # one row, from a bounded sample

@@ -111,6 +111,40 @@ def test_substrings(spark, batches):
     assert all(hashlib.sha256(b" ".join((r.text or "").encode().split())).hexdigest() == r.kept_sha256 for r in found)
 
 
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n)), "".join("ba"[i.bit_count() & 1] for i in range(n))
+
+
+def test_windows_are_verified_by_their_words(spark):
+    """Polynomial hashes modulo 2**64 of these two words are equal, whatever the base."""
+    one, two = thue_morse(1024)
+    rows = [(i, " ".join([*(f"w{k}" for k in range(24)), odd, *(f"v{k}" for k in range(25))])) for i, odd in ((1, one), (2, two), (3, one))]
+    found = substrings.remove_repeats(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in found) == [(1, 0), (2, 0), (3, 50)]
+
+
+def test_index_is_compacted_and_opened_again(spark, tmp_path):
+    rng = random.Random(12)
+    passage = [sentence(rng, 12, [f"w{i}" for i in range(99)]) for _ in range(3)]
+    rows = [(i, f"{sentence(rng, 15, [f'x{i}' for i in range(200)])} {rng.choice(passage)}") for i in range(40)] + [(40, "long " * 30_000)]
+    folder, scratch = f"file://{tmp_path}/index", substrings.Scratch(spark)
+    got = []
+    for a, b in ((0, 15), (15, 30), (30, 41)):  # an index for each session
+        index = substrings.FingerprintIndex(spark, folder, most_runs=1)
+        assert len(index.runs) == (a > 0)
+        batch = docs(spark, rows[a:b])
+        got += scratch.keep(substrings.add_batch(index, batch, docs(spark, rows[:b]), scratch, 10, 5), "gone").where(f"doc_id >= {a}").collect()
+        if a:
+            plan = substrings.reduce(lambda x, y: x.union(y), [index.run(r) for r in index.runs]).groupBy("fp", "doc_id").count()._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan  # buckets are merged where they lie
+        index.compact()
+        assert len(index.runs) == 1
+        index.close()
+    want = {i: n for i, _, n, _ in brute_repeats(rows, 10) if n}
+    removed = {r.doc_id: len({w for at in r.gone for w in range(at, at + 10)}) for r in got}
+    assert removed == want
+
+
 # Packing
 def test_best_fit_is_best_fit():
     rng = np.random.default_rng(3)
