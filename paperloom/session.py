@@ -10,15 +10,20 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Bytes of an Arrow batch, of which a task holds several at once; Spark's own default is eight times that.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package to all executors, once for each application.
+    """Send the package to all executors, once for each application, and bound Arrow batches where the user hasn't.
 
     Spark's own file server carries it, so nothing depends on a folder or a path that
     executors share with the driver.
     """
     app = spark.sparkContext.applicationId
+    if spark.sparkContext.getConf().get(BATCH) is None and app not in _SHIPPED:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     if app not in _SHIPPED:
         _SHIPPED.add(app)
         here = Path(__file__).resolve().parent
