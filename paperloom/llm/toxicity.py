@@ -23,9 +23,11 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,9 +70,11 @@ class Model:
         """Ratio and number of tokens of each row."""
         stream, pairs, _, rows = tokens(text)
         at = _find(self.bigrams, pairs)
-        llr = np.append(self.bigram_llr, 0.0)[at]
-        rest = np.flatnonzero(at == len(self.bigrams))
-        llr[rest] = np.append(self.unigram_llr, 0.0)[_find(self.unigrams, stream[rest])]
+        llr, known = np.zeros(len(at)), at < len(self.bigrams)
+        llr[known] = self.bigram_llr[at[known]]
+        at = _find(self.unigrams, stream)
+        known = ~known & (at < len(self.unigrams))
+        llr[known] = self.unigram_llr[at[known]]
         return np.bincount(rows, llr, len(text)), np.bincount(rows, minlength=len(text)).astype(float)
 
     def score(self, text: pa.Array) -> np.ndarray:
@@ -191,12 +195,34 @@ def fit(text: pa.Array, toxic: np.ndarray, share: float, discount: float = DISCO
     return Model(sample.keys, pair_llr, sample.names, token_llr, w, power)
 
 
+def stored(model: Model | None) -> bytes:
+    """A model for sending: keys as steps, byte by byte, and single-precision ratios, compressed."""
+
+    def planes(x: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+
+    if model is None:
+        return b""
+    parts = [planes(np.diff(k, prepend=np.uint64(0))) for k in (model.bigrams, model.unigrams)] + [planes(x.astype(np.float32)) for x in (model.bigram_llr, model.unigram_llr)]
+    return zstandard.compress(pickle.dumps((parts, model.weights, model.power)), 6)
+
+
+@lru_cache(maxsize=1)
+def loaded(body: bytes) -> Model | None:
+    if not body:
+        return None
+    parts, weights, power = pickle.loads(zstandard.decompress(body))
+    bigrams, unigrams = (np.cumsum(np.ascontiguousarray(p.T).view(np.uint64).ravel(), dtype=np.uint64) for p in parts[:2])
+    ratios = [np.ascontiguousarray(p.T).view(np.float32).ravel() for p in parts[2:]]
+    return Model(bigrams, ratios[0], unigrams, ratios[1], weights, power)
+
+
 def held_out(doc_id) -> object:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[Model | None, float]:
-    """A model of the labelled rows that aren't held out, and the share of toxic ones."""
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[bytes, float]:
+    """A stored model of the labelled rows that aren't held out (empty: none), and the share of toxic ones."""
     marked = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     n = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = n.get(1, 0) / max(1, sum(n.values()))
@@ -216,10 +242,10 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
             model = fit(table.column("text").combine_chunks(), np.asarray(table.column("toxic"), dtype=np.int64), prior)
             del held, table
             give_back()
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+            yield pa.RecordBatch.from_arrays([pa.array([stored(model)], pa.binary())], names=["model"])
 
     found = rows.repartition(1).mapInArrow(run, "model binary").collect()  # one row, from a bounded sample
-    return (pickle.loads(found[0]["model"]) if found else None), share
+    return (bytes(found[0]["model"]) if found else b""), share
 
 
 def score(docs: DataFrame, labels: DataFrame, *columns: str, per_class: int = PER_CLASS, threshold: float = THRESHOLD, keep_text: bool = False) -> DataFrame:
@@ -231,14 +257,15 @@ def score(docs: DataFrame, labels: DataFrame, *columns: str, per_class: int = PE
     labels.  Rows that repeat get equal scores; other columns are ignored.
     """
     spark = docs.sparkSession
-    model, share = learn(docs, labels, per_class)
-    sent = spark.sparkContext.broadcast(model)  # bounded by per_class
+    body, share = learn(docs, labels, per_class)
+    sent = spark.sparkContext.broadcast(body)  # bounded by per_class and BYTES
     kept = text_of(docs, "doc_id", *columns)
     names = ["doc_id", *columns] + ["text"] * keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches, "text"):
-            s = sent.value.score(batch.column("text")) if sent.value else np.full(batch.num_rows, share)
+            model = loaded(sent.value)
+            s = model.score(batch.column("text")) if model else np.full(batch.num_rows, share)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(s, pa.float64())], names=[*names, "score"])
 
     scored = kept.mapInArrow(run, kept.select(*names).schema.add("score", "double"))

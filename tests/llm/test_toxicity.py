@@ -49,7 +49,8 @@ def test_score_is_that_of_the_models(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(80)] + [(4, None), (None, 1)], "doc_id long, toxic int")
     found = toxicity.score(docs, labels).collect()
-    model, share = toxicity.learn(docs, labels)
+    body, share = toxicity.learn(docs, labels)
+    model = toxicity.loaded(body)
     assert len(found) == len(rows) and share > 0.4
     known, singles = dict(zip(model.bigrams.tolist(), model.bigram_llr)), dict(zip(model.unigrams.tolist(), model.unigram_llr))
     want = []
@@ -65,5 +66,5 @@ def test_score_is_that_of_the_models(spark):
 def test_sample_is_bounded_by_bytes(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "BYTES", 100)
     docs = spark.createDataFrame([(k, ("vile " if k % 2 else "fine ") * 12) for k in range(40)], "doc_id long, text string")
-    model, _ = toxicity.learn(docs, spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int"))
-    assert model is not None and len(model.unigrams) <= 4
+    body, _ = toxicity.learn(docs, spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int"))
+    assert len(toxicity.loaded(body).unigrams) <= 4
