@@ -10,24 +10,55 @@ from pyspark.sql import functions as F
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x))
+    """Held between the two; null and NaN stay."""
+    return F.when(x < low, F.lit(float(low))).when((x > high) & ~F.isnan(x.cast("double")), F.lit(float(high))).otherwise(x)
+
+
+def identity(*inputs: Column) -> list[Column]:
+    return list(inputs)
 
 
 def sampled(x: Column, samples: list[float], domain=(0.0, 1.0), decode=None) -> Column:
-    """Type 0 of one input: samples in 0..1 over the domain, between them a line."""
-    last = len(samples) - 1
-    at = clamp((clamp(x, *domain) - domain[0]) * (last / (domain[1] - domain[0])), 0, last)
-    low = F.least(F.floor(at), F.lit(max(0, last - 1))).cast("int")
-    table = F.array(*(F.lit(float(s)) for s in samples))
-    a, b = F.element_at(table, low + 1), F.element_at(table, F.least(low + 2, F.lit(last + 1)))
-    y = a + (at - low) * (b - a)
-    return y if decode is None else decode[0] + y * (decode[1] - decode[0])
-
-
-def exponential(x: Column, c0: list[float], c1: list[float], n: float) -> list[Column]:
-    """Type 2."""
+    """Type 0 of one input and one output: samples in 0..1 over the domain, between them a line."""
+    return sampled_many([x], [len(samples)], [[s] for s in samples], [domain], decode=[decode or (0.0, 1.0)])[0]
+
+
+def sampled_many(inputs: list[Column], sizes: list[int], samples: list[list[float]], domain, encode=None, decode=None, ranges=None) -> list[Column]:
+    """Type 0: ``samples`` hold the outputs of each point of the grid, the first input's points running fastest.
+
+    Between points values are linear in each input; NaN counts as the first point.
+    """
+    encode = encode or [(0, n - 1) for n in sizes]
+    low, part = [], []
+    for x, n, (d0, d1), (e0, e1) in zip(inputs, sizes, domain, encode, strict=True):
+        at = (clamp(x.cast("double"), d0, d1) - d0) * ((e1 - e0) / (d1 - d0)) + e0
+        at = clamp(F.when(F.isnan(at), F.lit(0.0)).otherwise(at), 0, n - 1)
+        first = F.least(F.floor(at), F.lit(max(0, n - 2))).cast("int")
+        low.append(first)
+        part.append(at - first)
+    out = []
+    for k in range(len(samples[0])):
+        table, y = F.array(*(F.lit(float(s[k])) for s in samples)), F.lit(0.0)
+        for corner in range(1 << len(inputs)):
+            place, weight, step = F.lit(1), F.lit(1.0), 1
+            for i, n in enumerate(sizes):
+                up = corner >> i & 1
+                place = place + F.least(low[i] + up, F.lit(n - 1)) * step
+                weight = weight * (part[i] if up else 1 - part[i])
+                step *= n
+            y = y + weight * F.element_at(table, place.cast("int"))
+        if decode:
+            y = decode[k][0] + y * (decode[k][1] - decode[k][0])
+        out.append(clamp(y, *ranges[k]) if ranges else y)
+    return out
+
+
+def exponential(x: Column, c0: list[float], c1: list[float], n: float, domain=None, ranges=None) -> list[Column]:
+    """Type 2, held in its domain and ranges where it has any."""
+    x = clamp(x, *domain) if domain else x
     p = x if n == 1 else F.pow(x, F.lit(float(n)))
-    return [F.lit(float(a)) + p * float(b - a) for a, b in zip(c0, c1, strict=True)]
+    out = [F.lit(float(a)) + p * float(b - a) for a, b in zip(c0, c1, strict=True)]
+    return [clamp(y, *r) for y, r in zip(out, ranges, strict=True)] if ranges else out
 
 
 def stitched(x: Column, pieces: list, bounds: list[float], encode: list[tuple[float, float]], domain=(0.0, 1.0)) -> Column:
@@ -44,6 +75,7 @@ def stitched(x: Column, pieces: list, bounds: list[float], encode: list[tuple[fl
 class Slot(NamedTuple):
     kind: str  # int, real or bool
     value: Column
+    constant: int | None = None  # of whole numbers that are known when compiling
 
 
 def _program(code: str) -> list:
@@ -63,7 +95,7 @@ def _program(code: str) -> list:
 
 def _number(word: str) -> Slot | None:
     try:
-        return Slot("int", F.lit(int(word)).cast("long"))
+        return _whole(int(word))
     except ValueError:
         try:
             return Slot("real", F.lit(float(word)))
@@ -71,6 +103,10 @@ def _number(word: str) -> Slot | None:
             return None
 
 
+def _whole(n: int) -> Slot:
+    return Slot("int", F.lit(n).cast("long"), n)
+
+
 def _real(s: Slot) -> Column:
     return s.value.cast("double")
 
@@ -104,17 +140,23 @@ def _run(program: list, stack: list[Slot]) -> list[Slot]:
         elif word in _STACK:
             _STACK[word](stack)
         elif word in _UNARY:
-            stack.append(_UNARY[word](stack.pop()))
+            a = stack.pop()
+            stack.append(_whole(_KNOWN[word](a.constant)) if a.constant is not None and word in _KNOWN else _UNARY[word](a))
         elif word in _BINARY:
             b, a = stack.pop(), stack.pop()
-            stack.append(_BINARY[word](a, b))
+            if word in ("idiv", "mod") and b.constant == 0:
+                continue  # leaves nothing
+            known = a.constant is not None and b.constant is not None and word in _KNOWN
+            stack.append(_whole(_KNOWN[word](a.constant, b.constant)) if known else _BINARY[word](a, b))
         else:
             raise ValueError(f"no operator {word}")
     return stack
 
 
 def _literal(stack: list[Slot]) -> int:
-    return int(re.search(r"-?\d+", str(stack.pop().value._jc.toString()))[0])
+    if (n := stack.pop().constant) is None:
+        raise ValueError("the operand of copy, index and roll must be known when compiling")
+    return n
 
 
 def _copy(stack: list[Slot]) -> None:
@@ -169,6 +211,13 @@ def _shifted(a: Slot, b: Slot) -> Slot:
     return Slot("int", F.when(n >= 0, F.call_function("shiftleft", x, n)).otherwise(F.call_function("shiftrightunsigned", x, -n)).cast("long"))
 
 
+def _quotient(a: int, b: int) -> int:
+    """Rounded towards zero."""
+    return abs(a) // abs(b) * (1 if (a < 0) == (b < 0) else -1)
+
+
+#: On whole numbers that are known.
+_KNOWN = {"add": int.__add__, "sub": int.__sub__, "mul": int.__mul__, "idiv": _quotient, "mod": lambda a, b: a - b * _quotient(a, b), "neg": int.__neg__, "abs": int.__abs__, "cvi": int, "ceiling": int, "floor": int, "round": int, "truncate": int, "and": int.__and__, "or": int.__or__, "xor": int.__xor__, "not": int.__invert__}
 _UNARY = {
     "abs": lambda a: Slot(a.kind, F.abs(a.value)),
     "neg": lambda a: Slot(a.kind, -a.value),

@@ -72,6 +72,36 @@ def inverse(m: list[Column]) -> list[Column]:
     return [m[3] / det, -m[1] / det, -m[2] / det, m[0] / det, (m[2] * m[5] - m[3] * m[4]) / det, (m[1] * m[4] - m[0] * m[5]) / det]
 
 
+def translated(m: list[Column], x: Column, y: Column) -> list[Column]:
+    """The matrix after a shift: points are shifted first."""
+    e, f = transform(m, x, y)
+    return [*m[:4], e, f]
+
+
+def scaled(m: list[Column], x: Column, y: Column) -> list[Column]:
+    """The matrix after a scaling: points are scaled first."""
+    return [m[0] * x, m[1] * x, m[2] * y, m[3] * y, *m[4:]]
+
+
+def norm(m: list[Column]) -> Column:
+    """The greatest length that a point of the unit circle gets."""
+    i, j, h = m[0] * m[0] + m[1] * m[1], m[2] * m[2] + m[3] * m[3], m[0] * m[2] + m[1] * m[3]
+    return F.sqrt(0.5 * (i + j) + F.hypot(0.5 * (i - j), h))
+
+
+def page_matrix(box: list[Column], rotate: Column, dpi: float, upside_down: bool = True) -> list[Column]:
+    """From a page's box to pixels at a resolution, turned by a multiple of 90 degrees; rows run down if ``upside_down``."""
+    k, zero = dpi / 72, F.lit(0.0)
+    x0, y0, x1, y1 = (v * k for v in box)
+    one = F.lit(float(k))
+    if upside_down:
+        turned = {0: (one, zero, zero, -one, -x0, y1), 90: (zero, one, one, zero, -y0, -x0), 180: (-one, zero, zero, one, x1, -y0), 270: (zero, -one, -one, zero, y1, x1)}
+    else:
+        turned = {0: (one, zero, zero, one, -x0, -y0), 90: (zero, -one, one, zero, -y0, x1), 180: (-one, zero, zero, -one, x1, y1), 270: (zero, one, -one, zero, y1, -x0)}
+    at = F.pmod(rotate.cast("int"), F.lit(360))
+    return [F.when(at == 90, turned[90][i]).when(at == 180, turned[180][i]).when(at == 270, turned[270][i]).otherwise(turned[0][i]) for i in range(6)]
+
+
 def contains(box: list[Column], x: Column, y: Column) -> Column:
     """Closed on all sides, for corners in any order."""
     return x.between(F.least(box[0], box[2]), F.greatest(box[0], box[2])) & y.between(F.least(box[1], box[3]), F.greatest(box[1], box[3]))
