@@ -20,7 +20,7 @@ class Document:
     """
 
     def __init__(self, data: bytes, password: bytes = b""):
-        self.data, self.cache, self.open_ = data, {}, set()
+        self.data, self.cache, self.containers, self.open_ = data, {}, {}, set()
         self.password, self.crypt, self.locked = password, None, False
         self.entries: dict[int, tuple] = {}
         self.trailer: dict = {}
@@ -48,7 +48,7 @@ class Document:
             ids = self.get(self.trailer.get("ID"))
             first = self.get(ids[0]) if isinstance(ids, list) and ids else b""
             self.crypt = security.unlock(d, first if isinstance(first, bytes) else b"", self.password)
-            self.cache = {}
+            self.cache, self.containers = {}, {}
             if self.crypt is None:
                 self.locked, self.entries = True, {}
 
@@ -93,7 +93,7 @@ class Document:
 
     def _rebuild(self) -> None:
         """Find objects and trailers by their keywords; later ones count."""
-        self.rebuilt, self.cache, self.entries, self.trailer = True, {}, {}, {}
+        self.rebuilt, self.cache, self.containers, self.entries, self.trailer = True, {}, {}, {}, {}
         for m in re.finditer(rb"(?:^|[\r\n\s])(\d+)\s+(\d+)\s+obj\b", self.data):
             self.entries[int(m[1])] = ("n", m.start(1), int(m[2]))
         for m in re.finditer(rb"trailer", self.data):
@@ -144,6 +144,15 @@ class Document:
                 return num, Stream(x, self.data[here:end])
         return num, x
 
+    def _container(self, num: int) -> tuple[bytes, list[int]]:
+        """An object stream's bytes and where each object starts in them; decoded once."""
+        if num not in self.containers:
+            holder = self.get(Ref(num, 0))
+            body = self.decoded(holder) or b""
+            p, first = Parser(body), self.get(holder.dict["First"])
+            self.containers[num] = body, [first + (p.lexer.token(), p.lexer.token())[1] for _ in range(self.get(holder.dict["N"]))]
+        return self.containers[num]
+
     def _numbers(self, stream: Stream) -> list[int]:
         p = Parser(self.decoded(stream) or b"")
         try:
@@ -168,11 +177,8 @@ class Document:
                     if self.crypt and x != self.trailer.get("Encrypt"):
                         value = self.crypt.apply(value, num, entry[2])
                 else:
-                    holder = self.get(Ref(entry[1], 0))
-                    body = self.decoded(holder) or b""
-                    p = Parser(body)
-                    places = [(p.lexer.token(), p.lexer.token()) for _ in range(self.get(holder.dict["N"]))]
-                    value = Parser(body, self.get(holder.dict["First"]) + places[entry[2]][1]).object()
+                    body, places = self._container(entry[1])
+                    value = Parser(body, places[entry[2]]).object()
             except (End, ValueError, KeyError, IndexError, AttributeError, TypeError):
                 value = None
             finally:

@@ -20,12 +20,6 @@ def read_pdf(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
     return files.select(F.xxhash64("path").alias("doc_id"), "path", F.col("content").alias("bytes"))
 
 
-def stream_pdf(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
-    """The same for files as they arrive."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", glob).load(path)
-    return files.select(F.xxhash64("path").alias("doc_id"), "path", F.col("content").alias("bytes"))
-
-
 def rows_of(df: DataFrame, schema: str, kernel: Callable[[dict], Iterator[dict]], *columns: str, keep: int = 4_096) -> DataFrame:
     """``kernel`` gives a document's rows; batches of about ``keep`` rows leave as they fill."""
     from pyspark.sql.pandas.types import to_arrow_schema
