@@ -7,22 +7,26 @@ from collections.abc import Iterator
 from typing import Any, NamedTuple
 
 from .document import Document
+from .document import text as text_string
+from .fonts import Font
+from .layers import Layers
 from .syntax import Command, End, Parser, Stream
 
 #: Heights of text above and below the baseline, in ems, where a font gives none; gap that ends a word.
 ASCENT, DESCENT, GAP = 0.8, -0.2, 0.1
-#: Fixed value: width of every Courier glyph, in ems.
-COURIER = 0.6
 MAX_FORMS = 20
 
 
 class Glyph(NamedTuple):
+    """Placed as if its line ran to the right: ``turn`` quarter turns (clockwise) bring it to where it is."""
+
     text: str
     x: float
     y: float
     width: float
     size: float
     font: str
+    turn: int = 0
 
 
 class Word(NamedTuple):
@@ -35,45 +39,28 @@ class Word(NamedTuple):
     base: float
     size: float
     font: str
+    turn: int = 0
 
 
-def multiply(a: tuple, b: tuple) -> tuple:
-    return (a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5])
+class Mark:
+    """An open marked-content sequence: hidden by a layer, or with a text that stands for its glyphs."""
+
+    def __init__(self, hidden: bool, actual: str | None):
+        self.hidden, self.actual, self.held = hidden, actual, []
+
 
+def turned(x: float, y: float, turn: int) -> tuple[float, float]:
+    """A point of the page, in axes turned so that lines of that turn run to the right and follow downwards."""
+    return ((x, y), (y, -x), (-x, -y), (-y, x))[turn]
 
-class Font:
-    """Names, widths and text of a simple font's codes."""
-
-    def __init__(self, doc: Document, raw: Any):
-        d = raw if isinstance(raw, dict) else {}
-        self.name = str(doc.get(d.get("BaseFont")) or "")
-        self.first = doc.get(d.get("FirstChar")) or 0
-        self.widths = [doc.get(w) for w in doc.get(d.get("Widths")) or []]
-        self.missing = COURIER if not self.widths else 0.0
-        self.map = self._to_unicode(doc.decoded(x)) if isinstance(x := doc.get(d.get("ToUnicode")), Stream) else {}
-        self.wide = doc.get(d.get("Subtype")) == "Type0"
-        self.known: dict[int, tuple[int, str, float]] = {}
-
-    @staticmethod
-    def _to_unicode(cmap: bytes | None) -> dict[int, str]:
-        out, said = {}, (cmap or b"").decode("latin-1")
-        for body in re.findall(r"beginbfchar(.*?)endbfchar", said, re.S):
-            for code, to in re.findall(r"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", body):
-                out[int(code, 16)] = bytes.fromhex(to).decode("utf-16-be", "replace")
-        for body in re.findall(r"beginbfrange(.*?)endbfrange", said, re.S):
-            for a, b, to in re.findall(r"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", body):
-                for i in range(min(int(b, 16) - int(a, 16), 65535) + 1):
-                    out[int(a, 16) + i] = chr(int(to, 16) + i)
-        return out
-
-    def codes(self, raw: bytes) -> Iterator[tuple[int, str, float]]:
-        known = self.known
-        for c in [int.from_bytes(raw[i : i + 2], "big") for i in range(0, len(raw), 2)] if self.wide else raw:
-            if (found := known.get(c)) is None:
-                at = c - self.first
-                width = self.widths[at] / 1000 if 0 <= at < len(self.widths) and isinstance(self.widths[at], (int, float)) else self.missing
-                found = known[c] = c, self.map.get(c) or (bytes([c]).decode("cp1252", "replace") if c < 256 and not self.wide else "\ufffd"), width
-            yield found
+
+def box_of(left: float, top: float, right: float, bottom: float, turn: int) -> tuple[float, float, float, float]:
+    """A box in turned axes, on the page."""
+    return ((left, top, right, bottom), (-bottom, left, -top, right), (-right, -bottom, -left, -top), (top, -right, bottom, -left))[turn]
+
+
+def multiply(a: tuple, b: tuple) -> tuple:
+    return (a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5])
 
 
 def operations(data: bytes) -> Iterator[tuple[str, list]]:
@@ -98,7 +85,7 @@ class Interpreter:
     """Runs the operators that place text; others pass."""
 
     def __init__(self, doc: Document):
-        self.doc, self.fonts = doc, {}
+        self.doc, self.fonts, self.layers = doc, {}, Layers(doc)
 
     def glyphs(self, page: dict) -> Iterator[Glyph]:
         """In device space: points from the top left of the page's media box."""
@@ -112,10 +99,29 @@ class Interpreter:
             self.fonts[key] = Font(self.doc, self.doc.get(ref))
         return self.fonts[key]
 
+    def _mark(self, op: str, a: list, resources: dict) -> Mark:
+        about = a[-1] if op == "BDC" and a else None
+        if isinstance(about, str):
+            about = (self.doc.get(resources.get("Properties")) or {}).get(about)
+        hidden = op == "BDC" and len(a) > 1 and a[-2] == "OC" and not self.layers.shown(about)
+        about = self.doc.get(about)
+        said = self.doc.get(about.get("ActualText")) if isinstance(about, dict) else None
+        return Mark(hidden, text_string(said) if isinstance(said, bytes) else None)
+
     def _run(self, data: bytes, resources: dict, ctm: tuple, depth: int) -> Iterator[Glyph]:
         one = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
         state = {"ctm": ctm, "font": None, "size": 0.0, "char": 0.0, "word": 0.0, "scale": 1.0, "lead": 0.0, "rise": 0.0, "mode": 0}
         stack, matrix, line = [], one, one
+        marks: list[Mark] = []
+
+        def placed(glyphs: Iterator[Glyph]) -> Iterator[Glyph]:
+            """Glyphs that no layer hides; those that a text stands for wait for the end of their mark."""
+            for g in glyphs:
+                if not any(m.hidden for m in marks):
+                    if outer := next((m for m in marks if m.actual is not None), None):
+                        outer.held.append(g)
+                    else:
+                        yield g
 
         def show(raw: Any) -> Iterator[Glyph]:
             nonlocal matrix
@@ -124,10 +130,11 @@ class Interpreter:
             font, size, scale = state["font"], state["size"], state["scale"]
             m = multiply(matrix, state["ctm"])
             x, y = m[4] + state["rise"] * m[2], m[5] + state["rise"] * m[3]
-            em, height = size * scale * m[0], size * (abs(m[3]) or abs(m[1]))
+            turn = (0 if m[0] >= 0 else 2) if abs(m[0]) >= abs(m[1]) else 1 if m[1] > 0 else 3
+            em, height = size * scale * abs(m[turn % 2]), size * (abs(m[2]) if turn % 2 else abs(m[3]) or abs(m[1]))
             char, word, name, along = state["char"] * scale, state["word"] * scale, font.name, 0.0
             for code, said, width in font.codes(raw):
-                yield Glyph(said, x + along * m[0], y + along * m[1], width * em, height, name)
+                yield Glyph(said, *turned(x + along * m[0], y + along * m[1], turn), width * em, height, name, turn)
                 along += width * size * scale + char
                 if code == 32:
                     along += word
@@ -161,47 +168,67 @@ class Interpreter:
                 elif op == "T*":
                     move(0, -state["lead"])
                 elif op == "Tj":
-                    yield from show(a[-1])
+                    yield from placed(show(a[-1]))
                 elif op in ("'", '"'):
                     if op == '"':
                         state["word"], state["char"] = float(a[-3]), float(a[-2])
                     move(0, -state["lead"])
-                    yield from show(a[-1])
+                    yield from placed(show(a[-1]))
                 elif op == "TJ":
                     for x in a[-1]:
                         if isinstance(x, (int, float)):
                             matrix = multiply((1, 0, 0, 1, -x / 1000 * state["size"] * state["scale"], 0), matrix)
                         else:
-                            yield from show(x)
+                            yield from placed(show(x))
+                elif op in ("BMC", "BDC"):
+                    marks.append(self._mark(op, a, resources))
+                elif op == "EMC" and marks:
+                    last = marks.pop()
+                    if last.held:
+                        yield from spread_over(last.actual, last.held)
                 elif op == "Do" and depth < MAX_FORMS:
                     form = self.doc.get((self.doc.get(resources.get("XObject")) or {}).get(a[-1]))
-                    if isinstance(form, Stream) and form.dict.get("Subtype") == "Form":
+                    if isinstance(form, Stream) and form.dict.get("Subtype") == "Form" and self.layers.shown(form.dict.get("OC")):
                         inner = tuple(float(v) for v in self.doc.get(form.dict.get("Matrix")) or one)
-                        yield from self._run(self.doc.decoded(form) or b"", self.doc.get(form.dict.get("Resources")) or resources, multiply(inner, state["ctm"]), depth + 1)
+                        yield from placed(self._run(self.doc.decoded(form) or b"", self.doc.get(form.dict.get("Resources")) or resources, multiply(inner, state["ctm"]), depth + 1))
             except (IndexError, TypeError, ValueError):
                 return  # too few or wrong operands end the stream
 
 
-def words(glyphs: Iterator[Glyph]) -> Iterator[Word]:
-    """Runs of glyphs on one baseline without white space or a gap, in content order."""
-    held: list[Glyph] = []
-    line, base, end = -1, None, None
+def spread_over(said: str, held: list[Glyph]) -> Iterator[Glyph]:
+    """The text in place of the glyphs, its characters spread evenly over their box."""
+    first, last = held[0], held[-1]
+    each = (max(g.x + g.width for g in held) - first.x) / max(len(said), 1) if last.y == first.y else first.width
+    for i, c in enumerate(said):
+        yield first._replace(text=c, x=first.x + i * each, width=each)
 
-    def done() -> Iterator[Word]:
-        if held:
-            size = held[0].size
-            yield Word(line, "".join(g.text for g in held), held[0].x, held[0].y - ASCENT * size, held[-1].x + held[-1].width, held[0].y - DESCENT * size, held[0].y, size, held[0].font)
-            held.clear()
 
+def runs(glyphs: Iterator[Glyph]) -> Iterator[tuple[int, list[Glyph]]]:
+    """(line, glyphs): glyphs on one baseline without white space or a gap, in content order."""
+    held: list[Glyph] = []
+    line, base, end, turn = -1, None, None, 0
     for g in glyphs:
-        if base is None or abs(g.y - base) > 0.5 * max(g.size, 0.1):
-            yield from done()
-            line, base, end = line + 1, g.y, None
+        if base is None or g.turn != turn or abs(g.y - base) > 0.5 * max(g.size, 0.1):
+            if held:
+                yield line, held
+            line, base, end, turn, held = line + 1, g.y, None, g.turn, []
         if g.text.isspace():
-            yield from done()
+            if held:
+                yield line, held
+            held = []
         else:
             if held and (abs(g.x - end) > GAP * g.size or g.font != held[-1].font or g.size != held[-1].size):
-                yield from done()
+                yield line, held
+                held = []
             held.append(g)
         end = g.x + g.width
-    yield from done()
+    if held:
+        yield line, held
+
+
+def words(glyphs: Iterator[Glyph]) -> Iterator[Word]:
+    """The runs as words, with their boxes on the page; ``base`` is where the baseline crosses the page's other axis."""
+    for line, held in runs(glyphs):
+        a, z = held[0], held[-1]
+        box = box_of(a.x, a.y - ASCENT * a.size, z.x + z.width, a.y - DESCENT * a.size, a.turn)
+        yield Word(line, "".join(g.text for g in held), *box, -a.y if a.turn in (1, 2) else a.y, a.size, a.font, a.turn)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from itertools import count
 from typing import Any
 
@@ -35,16 +35,42 @@ def synthesize(text: str | None, info: dict[str, str], compress: bool = True) ->
     return file_of(_pages(text, info, compress), 1, 4)
 
 
-def _pages(text: str | None, info: dict[str, str], compress: bool = True) -> dict[int, Any]:
+#: The font of synthesised pages.
+COURIER = {"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Courier"), "Encoding": Name("WinAnsiEncoding")}
+
+
+def composite(text: str, width: int = 600) -> tuple[dict[str, Any], dict[str, bytes], Stream]:
+    """A composite font for any text: its dictionary less ToUnicode, the code of each character, and the ToUnicode stream."""
+    codes = {c: (i + 1).to_bytes(2, "big") for i, c in enumerate(sorted(set(text) | {" "}))}
+    pairs = [f"<{code.hex()}> <{c.encode('utf-16-be').hex()}>" for c, code in codes.items()]
+    body = "".join(f"{len(part)} beginbfchar\n" + "\n".join(part) + "\nendbfchar\n" for i in range(0, len(pairs), 100) if (part := pairs[i : i + 100]))
+    inner = {"Type": Name("Font"), "Subtype": Name("CIDFontType2"), "BaseFont": Name("Courier"), "CIDSystemInfo": {"Registry": b"Adobe", "Ordering": b"Identity", "Supplement": 0}, "DW": width}
+    font = {"Type": Name("Font"), "Subtype": Name("Type0"), "BaseFont": Name("Courier"), "Encoding": Name("Identity-H"), "DescendantFonts": [inner]}
+    return font, codes, Stream({}, f"1 begincodespacerange <0000> <ffff> endcodespacerange\n{body}".encode())
+
+
+def _pages(text: str | None, info: dict[str, str], compress: bool = True, font: dict[str, Any] | None = None, encode: Callable[[str], bytes] | None = None, place: bytes = b"%d %d Td" % (MARGIN, PAGE_HEIGHT - MARGIN), show: Callable[[bytes, int], bytes] = lambda said, _: said + b" Tj") -> dict[int, Any]:
+    """Objects of a document; the font, how it codes lines, where text begins and how a line is shown can be given.
+
+    Texts beyond WinAnsi get a composite font, where no other is given.
+    """
+    to_unicode = None
+    if encode is None:
+        try:
+            (text or "").encode("cp1252")
+            font, encode = font or COURIER, lambda line: line.encode("cp1252")
+        except UnicodeEncodeError:
+            font, codes, to_unicode = composite((text or "").encode("utf-16", "replace").decode("utf-16"))
+            encode = lambda line: b"".join(codes.get(c, codes[" "]) for c in line)
     tokens = (text or "").split()
     lines = [" ".join(tokens[i : i + WORDS_A_LINE]) for i in range(0, len(tokens), WORDS_A_LINE)] or [""]
     pages = [lines[i : i + LINES_A_PAGE] for i in range(0, len(lines), LINES_A_PAGE)]
-    objects: dict[int, Any] = {1: {"Type": Name("Catalog"), "Pages": Ref(2, 0), "Outlines": Ref(5, 0)}, 3: {"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Courier"), "Encoding": Name("WinAnsiEncoding")}, 4: {k: b"\xfe\xff" + v.encode("utf-16-be") for k, v in info.items()}}
+    objects: dict[int, Any] = {1: {"Type": Name("Catalog"), "Pages": Ref(2, 0), "Outlines": Ref(5, 0)}, 3: font, 4: {k: b"\xfe\xff" + v.encode("utf-16-be") for k, v in info.items()}}
     first = 6
     for i, page in enumerate(pages):
-        body = [b"BT /F1 %d Tf %d TL %d %d Td" % (FONT_SIZE, LEADING, MARGIN, PAGE_HEIGHT - MARGIN)]
+        body = [b"BT /F1 %d Tf %d TL %s" % (FONT_SIZE, LEADING, place)]
         for n, line in enumerate(page):
-            body.append((b"T* " if n else b"") + write(line.encode("cp1252", "replace")) + b" Tj")
+            body.append((b"T* " if n else b"") + show(write(encode(line)), n))
         raw = b"\n".join([*body, b"ET"])
         num = first + 3 * i
         objects[num] = {"Type": Name("Page"), "Parent": Ref(2, 0), "Contents": Ref(num + 1, 0)}
@@ -53,6 +79,9 @@ def _pages(text: str | None, info: dict[str, str], compress: bool = True) -> dic
         objects[num + 2] = item | ({"Next": Ref(num + 5, 0)} if i + 1 < len(pages) else {}) | ({"Prev": Ref(num - 1, 0)} if i else {})
     objects[2] = {"Type": Name("Pages"), "Count": len(pages), "Kids": [Ref(first + 3 * i, 0) for i in range(len(pages))], "MediaBox": [0, 0, PAGE_WIDTH, PAGE_HEIGHT], "Resources": {"Font": {"F1": Ref(3, 0)}}}
     objects[5] = {"Type": Name("Outlines"), "First": Ref(first + 2, 0), "Last": Ref(first + 3 * len(pages) - 1, 0), "Count": len(pages)}
+    if to_unicode is not None:
+        number = first + 3 * len(pages)
+        objects[3], objects[number] = font | {"ToUnicode": Ref(number, 0)}, to_unicode
     return objects
 
 

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 
 def lines(words: DataFrame) -> DataFrame:
-    """Words of one baseline, in the order of their left edges; a group is one line of a page."""
-    of_line = words.groupBy("doc_id", "page_num", "line")
-    ordered = F.array_sort(F.collect_list(F.struct("x_min", "word_num", "text")))
+    """Words of one baseline, in the order in which the line runs; a group is one line of a page."""
+    if "turn" not in words.columns:
+        words = words.withColumn("turn", F.lit(0))
+    along = F.element_at(F.array("x_min", "y_min", -F.col("x_max"), -F.col("y_max")), F.col("turn") + 1)
+    of_line = words.withColumn("along", along).groupBy("doc_id", "page_num", "line")
+    ordered = F.array_sort(F.collect_list(F.struct("along", "word_num", "text")))
     return of_line.agg(F.array_join(F.transform(ordered, lambda w: w["text"]), " ").alias("text"), F.min("x_min").alias("x_min"), F.min("y_min").alias("y_min"), F.max("x_max").alias("x_max"), F.max("y_max").alias("y_max"))
 
 

@@ -43,6 +43,13 @@ def first_matches(hits: DataFrame) -> DataFrame:
     return hits.withColumn("_first", first).where("_first = 1").drop("_first")
 
 
+def with_next(hits: DataFrame, backward: bool = False) -> DataFrame:
+    """Each first part of a hit with the page and number of the next hit of its needle in the document (or of the one before); null at the end."""
+    order = [F.desc("page_num"), F.desc("hit")] if backward else ["page_num", "hit"]
+    along = Window.partitionBy("doc_id", "needle").orderBy(*order)
+    return hits.where("part = 0").withColumns({"next_page": F.lead("page_num").over(along), "next_hit": F.lead("hit").over(along)})
+
+
 def across_lines(needle: str) -> str:
     """A pattern for page texts: a line may end between words of the needle, or in one, after a hyphen."""
     return r"[ \n]".join(r"(?:-\n)?".join(map(re.escape, word)) for word in needle.split())

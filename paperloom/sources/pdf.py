@@ -59,6 +59,11 @@ def synthesized(docs: DataFrame) -> DataFrame:
     return rows_of(spread(docs), "doc_id long, bytes binary", lambda r: iter([{"doc_id": r["doc_id"], "bytes": synthesize(r["text"], {"Title": f"doc-{r['doc_id']}", "Subject": r["lang"] or "", "Author": r["source"] or ""})}]), "doc_id", "text", "lang", "source", keep=64)
 
 
+def made(docs: DataFrame, kernel: Callable[[dict], bytes]) -> DataFrame:
+    """(doc_id, bytes): the document that ``kernel`` makes of each row's doc_id and text."""
+    return rows_of(spread(docs), "doc_id long, bytes binary", lambda r: iter([{"doc_id": r["doc_id"], "bytes": kernel(r)}]), "doc_id", "text", keep=64)
+
+
 def decorated(docs: DataFrame) -> DataFrame:
     """(doc_id, bytes): the same with links, files, fields, layers, labels and structure; see ``decorate``."""
     return rows_of(spread(docs), "doc_id long, bytes binary", lambda r: iter([{"doc_id": r["doc_id"], "bytes": decorate(r["text"], {"Title": f"doc-{r['doc_id']}", "Subject": r["lang"] or "", "Author": r["source"] or ""}, r["doc_id"] or 0)}]), "doc_id", "text", "lang", "source", keep=64)
@@ -79,7 +84,7 @@ def word_table(pdfs: DataFrame) -> DataFrame:
             for i, w in enumerate(words(run.glyphs(page))):
                 yield {"doc_id": r["doc_id"], "page_num": page_num, "word_num": i, **w._asdict()}
 
-    return rows_of(pdfs, "doc_id long, page_num int, word_num int, line int, text string, x_min double, y_min double, x_max double, y_max double, base double, size double, font string", kernel, "doc_id", "bytes")
+    return rows_of(pdfs, "doc_id long, page_num int, word_num int, line int, text string, x_min double, y_min double, x_max double, y_max double, base double, size double, font string, turn int", kernel, "doc_id", "bytes")
 
 
 def page_table(pdfs: DataFrame) -> DataFrame:
