@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sinks import escaped
+
 
 def lines(words: DataFrame) -> DataFrame:
     """Words of one baseline, in the order in which the line runs; a group is one line of a page."""
@@ -46,9 +48,7 @@ def dehyphenated(text: Column, how: str = "soft") -> Column:
 
 def bbox_pages(words: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, page_num, xhtml): a page element with an element for each word."""
-    said = F.col("text")
-    for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        said = F.replace(said, F.lit(raw), F.lit(entity))
+    said = escaped(F.col("text"))
     one = F.format_string('    <word xMin="%.6f" yMin="%.6f" xMax="%.6f" yMax="%.6f">%s</word>\n', "x_min", "y_min", "x_max", "y_max", said)
     held = words.select("doc_id", "page_num", F.struct("word_num", one.alias("one")).alias("w")).groupBy("doc_id", "page_num").agg(F.array_sort(F.collect_list("w")).alias("ws"))
     box = F.col("media_box")

@@ -214,7 +214,7 @@ def dup_text_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.without_doubles(words.unionByName(again)).groupBy("doc_id", "page_num").agg(F.count(F.lit(1)).alias("n_words"), F.sum(F.length("text")).alias("n_letters"))
 
 
-@query(PAGES + r""", e AS (SELECT doc_id, page_num, w, x_min, x_max, base, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS text FROM placed),
+@query(PAGES + r""", e AS (SELECT doc_id, page_num, w, x_min, x_max, base, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS text FROM placed),
 x AS (SELECT doc_id, page_num, string_agg(printf('    <word xMin="%.6f" yMin="%.6f" xMax="%.6f" yMax="%.6f">%s</word>', x_min :: DOUBLE, base - 8.0 :: DOUBLE, x_max :: DOUBLE, base + 2.0 :: DOUBLE, text) || chr(10), '' ORDER BY w) AS body FROM e GROUP BY doc_id, page_num)
 SELECT i.doc_id, i.k AS page_num, md5('  <page width="612.000000" height="792.000000">' || chr(10) || coalesce(body, '') || '  </page>' || chr(10)) AS xhtml FROM i LEFT JOIN x ON i.doc_id = x.doc_id AND i.k = x.page_num""")
 def bbox_xhtml(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,3 +83,21 @@ def test_matches_go_on_in_the_next_line():
     found = list(matching.matches(doc, matching.patterns(["wonderful", "eclair", "", "b c"], True, True, True), True, True))
     assert [(r["needle"], r["hit"], r["part"], r["text"]) for r in found] == [("wonderful", 0, 0, "wonder-"), ("wonderful", 0, 1, "ful"), ("eclair", 0, 0, "Éclair"), ("b c", 0, 0, "b c")]
     assert found[1]["x_min"] == 72 and found[1]["y_min"] == 76
+
+
+def test_markup_of_pages(spark):
+    from paperloom.operators import layout, reading, sinks
+    from paperloom.sources import content, pdf
+
+    docs = spark.createDataFrame([(1, "a <b> & 'c' \"d\"", "en", None), (2, "", None, None), (None, None, None, None)], "doc_id long, text string, lang string, source string")
+    made = pdf.synthesized(docs)
+    words, pages = pdf.word_table(made), pdf.page_table(made)
+    xml = {r["doc_id"]: r["xml"] for r in sinks.xml_pages(words, pages).collect()}
+    assert xml[1].split("\n")[1:3] == ['\t<fontspec id="0" size="15" family="Courier" color="#000000"/>', '<text top="96" left="108" width="135" height="15" font="0">a &lt;b&gt; &amp; \'c\' &#34;d&#34;</text>']
+    assert xml[2].count("\n") == 2
+    boxes = {r["doc_id"]: r["xhtml"] for r in sinks.layout_pages(reading.in_reading_order(words), pages).collect()}
+    assert "&apos;c&apos;</word>" in boxes[1] and boxes[1].count("<flow>") == 1 and "<flow>" not in boxes[2]
+    assert "&apos;c&apos;" in next(r["xhtml"] for r in layout.bbox_pages(words, pages).collect() if r["doc_id"] == 1)
+    assert content.paint_table(made).collect() == []
+    assert [r["hit"] for r in content.match_table(made, ["a <b>", "", "zzz"]).collect()] == [0]
+    assert content.match_table(made.limit(0), ["a"]).collect() == []
