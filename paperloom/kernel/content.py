@@ -133,8 +133,9 @@ class Interpreter:
             turn = (0 if m[0] >= 0 else 2) if abs(m[0]) >= abs(m[1]) else 1 if m[1] > 0 else 3
             em, height = size * scale * abs(m[turn % 2]), size * (abs(m[2]) if turn % 2 else abs(m[3]) or abs(m[1]))
             char, word, name, along = state["char"] * scale, state["word"] * scale, font.name, 0.0
+            (x, y), (dx, dy) = turned(x, y, turn), turned(m[0], m[1], turn)
             for code, said, width in font.codes(raw):
-                yield Glyph(said, *turned(x + along * m[0], y + along * m[1], turn), width * em, height, name, turn)
+                yield Glyph(said, x + along * dx, y + along * dy, width * em, height, name, turn)
                 along += width * size * scale + char
                 if code == 32:
                     along += word
@@ -168,18 +169,18 @@ class Interpreter:
                 elif op == "T*":
                     move(0, -state["lead"])
                 elif op == "Tj":
-                    yield from placed(show(a[-1]))
+                    yield from placed(show(a[-1])) if marks else show(a[-1])
                 elif op in ("'", '"'):
                     if op == '"':
                         state["word"], state["char"] = float(a[-3]), float(a[-2])
                     move(0, -state["lead"])
-                    yield from placed(show(a[-1]))
+                    yield from placed(show(a[-1])) if marks else show(a[-1])
                 elif op == "TJ":
                     for x in a[-1]:
                         if isinstance(x, (int, float)):
                             matrix = multiply((1, 0, 0, 1, -x / 1000 * state["size"] * state["scale"], 0), matrix)
                         else:
-                            yield from placed(show(x))
+                            yield from placed(show(x)) if marks else show(x)
                 elif op in ("BMC", "BDC"):
                     marks.append(self._mark(op, a, resources))
                 elif op == "EMC" and marks:
