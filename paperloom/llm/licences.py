@@ -2,10 +2,10 @@
 
 Around every cue word a block of words is taken.  The template that, as a zstandard raw
 dictionary, shortens a block's frame the most says most of the block.  Templates are
-confirmed by the exact words: the notice around the cue must hold all key words of the
-template, and differ from it in few words, which are reported.  Of those confirmed the
-one with the fewest differences is taken, then the longest, then the first in the order
-of the frames.
+tried in that order, to the last one, until the exact words confirm one: the notice around
+the cue must hold all key words of the template, and differ from it in few words.  That one
+gives the licence.  As a block also holds a notice's neighbours, place and differences are
+those of the licence's wording that differs the least, then of the longest.
 """
 
 from __future__ import annotations
@@ -135,21 +135,29 @@ def confirm(words: list[str], template: Template, cue: int) -> tuple[int, int, l
     return first, end, [f"{tag}:{' '.join(want[b1:b2])}:{' '.join(found[a1:a2])}" for tag, b1, b2, a1, a2 in changes]
 
 
+def ranked(words: list[str], templates: tuple[Template, ...]) -> list[tuple[int, int]]:
+    """(template, bytes it takes off the block's frame as a dictionary) of every template, the most first."""
+    bare, with_dict = _compressors(templates)
+    block = " ".join(words).encode()
+    size = len(bare.compress(block))
+    return sorted(((i, size - len(c.compress(block))) for i, c in enumerate(with_dict)), key=lambda x: (-x[1], x[0]))
+
+
 def find(text: str, templates: tuple[Template, ...]) -> list[dict]:
     """The notices of one text: licence, place in its words, size reduction, differences."""
-    bare, with_dict = _compressors(templates)
     out: dict[tuple[str, int], dict] = {}
     for cue, words, places in blocks(text, max(len(t.words) for t in templates) + FEW):
         if (at := bisect.bisect_left(places, cue)) == len(places) or places[at] != cue:
             continue
-        hits = [(i, hit) for i, t in enumerate(templates) if (hit := confirm(words, t, at))]
+        hits = {}
+        for i, reduction in ranked(words, templates):
+            if (not hits or templates[i].name == name) and (hit := confirm(words, templates[i], at)):
+                name, hits[i] = templates[i].name, (reduction, hit)
         if hits:
-            block = " ".join(words).encode()
-            size = len(bare.compress(block))
-            sizes = {i: size - len(with_dict[i].compress(block)) for i, _ in hits}
-            i, hit = min(hits, key=lambda x: (len(x[1][2]), -len(templates[x[0]].words), -sizes[x[0]], x[0]))
+            i = min(hits, key=lambda i: (len(hits[i][1][2]), -len(templates[i].words), -hits[i][0], i))
+            reduction, hit = hits[i]
             place = places[hit[0]]
-            out.setdefault((templates[i].name, place), {"licence": templates[i].name, "first_word": place, "n_words": hit[1] - hit[0], "reduction": sizes[i], "differences": hit[2]})
+            out.setdefault((name, place), {"licence": name, "first_word": place, "n_words": hit[1] - hit[0], "reduction": reduction, "differences": hit[2]})
     return sorted(out.values(), key=lambda x: (x["first_word"], x["licence"]))
 
 

@@ -47,3 +47,20 @@ def test_real_notices(text, want):
 def test_other_words_are_no_notice():
     assert found("The license of the driver from MIT was renewed.") == []
     assert found("Released under the Artistic License.") == []
+
+
+def test_compression_names_the_licence():
+    """Of two licences whose words both confirm, the one whose template shortens the block the most, not the one with the fewest differences."""
+    short = licences.Template("short", "Licensed under the Foo License.", ("foo",))
+    long = licences.Template("long", "Licensed under the Foo License, with each exception that its authors have ever granted in writing to any reader.", ("foo", "exception"))
+    text = f"Some words. {long.text.replace('ever', 'once')} More words."
+    (notice,) = licences.find(text, (short, long))
+    assert (notice["licence"], notice["first_word"], notice["differences"]) == ("long", 2, ["replace:ever:once"])
+    assert notice["reduction"] == licences.ranked(licences.plain(text), (short, long))[0][1]
+    (notice,) = licences.find(f"Some words. {short.text} More words.", (long, short))
+    assert (notice["licence"], notice["differences"]) == ("short", [])
+
+
+def test_no_confirmed_template_is_lost_behind_better_ranked_ones():
+    text = f"{MIT} {APACHE} # SPDX-License-Identifier: GPL-3.0-only"
+    assert [x for x, _ in found(text)] == ["MIT", "Apache-2.0", "GPL-3.0"]
