@@ -1,9 +1,11 @@
 """Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, in groups.
 
-This is the near-duplicate operator where a similarity is asked for.  At 0.8 two SimHashes
+This is the near-duplicate operator where a similarity is asked for.  SimHashes of the
+shingles are filed under pairs of blocks as in :mod:`simhash`, and each is paired with the least one within
+two bits; these pairs are verified on the whole sets.  At 0.8 two SimHashes
 differ in about ten of 64 bits, so blocks that are sure to agree would be a few bits wide
-and hold everything.  The fingerprint here is 128 minima of hashes of the shingles
-(16 bits of each), and the way is the same: fingerprints are split into 32 blocks of four minima, texts
+and hold everything.  What two bits don't reach is found by a second fingerprint, 128 minima of hashes of the shingles
+(16 bits of each), in the same way: fingerprints are split into 32 blocks of four minima, texts
 that share a block are compared, and every pair is verified, first on the fingerprints and
 then on the whole sets.  A pair at exactly 0.8 shares no block with probability
 (1 - 0.8**4)**32, 5 in 10**8, and fails the first test with less than 1 in 10**6; more
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from . import simhash
 from .graph import components
 from .shared import Scratch, attach, chunked, share
 from .words import BASES, LOWER, SPACE, Rolling, find
@@ -109,7 +112,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _marked(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, key, digest, bands) of each row: ``digest`` is equal for equal words."""
+    """(doc_id, key, digest, fp, bands) of each row: ``digest`` is equal for equal words, ``fp`` is the SimHash."""
     kept = _keyed(docs.select("doc_id", "text")).select("doc_id", "key", F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,9 +120,23 @@ def _marked(docs: DataFrame, shingle: int) -> DataFrame:
             found = [shingles(x.as_py(), shingle) for x in batch.column("text")]
             keys = np.concatenate([sketch(h) for _, h in found])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array([d for d, _ in found], pa.binary()), lists], names=["doc_id", "key", "digest", "bands"])
+            prints = np.array([simhash.fingerprint(x.as_py(), shingle) for x in batch.column("text")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array([d for d, _ in found], pa.binary()), pa.array(prints), lists], names=["doc_id", "key", "digest", "fp", "bands"])
 
-    return kept.mapInArrow(run, kept.drop("text").schema.add("digest", "binary").add("bands", ArrayType(LongType())))
+    return kept.mapInArrow(run, kept.drop("text").schema.add("digest", "binary").add("fp", "long").add("bands", ArrayType(LongType())))
+
+
+def by_simhash(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (u, v) of ``nodes`` (node, fp) to verify: one node of each SimHash with the others of it, and with that of the least SimHash within two bits."""
+    rows = nodes.count()
+    heads = scratch.keep(nodes.groupBy("fp").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")), "heads")
+    same = attach(nodes.select("node", "fp"), heads, ["fp"], share(nodes.sparkSession, rows), F.col("node")).where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    near = simhash.links(heads.select("fp"), rows, scratch).groupBy(F.greatest("u", "v").alias("x")).agg(F.min(F.least("u", "v")).alias("y"))
+    for x in "xy":
+        near = near.join(heads.select(F.col("fp").alias(x), F.col("head").alias(f"of_{x}")), x)
+    found = scratch.keep(same.union(near.select("of_x", "of_y")), "by_simhash")
+    scratch.drop(heads)
+    return found
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -241,30 +258,37 @@ def _in_squares(grouped: DataFrame, nodes: DataFrame, limit: int, similarity: fl
     return lined.mapInArrow(run, "u long, v long, sure boolean")
 
 
-def links(nodes: DataFrame, texts_of, scratch: Scratch, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame | None:
-    """Pairs (u, v) of nodes whose groups are those of all pairs of one block that are similar; None if no two share a block.
+def links(nodes: DataFrame, texts_of, scratch: Scratch, shingle: int = SHINGLE, similarity: float = SIMILARITY, more: DataFrame | None = None) -> DataFrame | None:
+    """Pairs (u, v) of nodes whose groups are those of all similar pairs that share a block or are in ``more``; None if there are none.
 
     ``nodes`` are (node, bands); ``texts_of`` gives (node, text as bytes) of a table of nodes.
     """
     spark = nodes.sparkSession
+    found: list[DataFrame] = []
+
+    def read(pairs: DataFrame) -> None:
+        pairs = scratch.keep(pairs, "pairs")
+        if n := pairs.count():
+            texts = scratch.keep(texts_of(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()), "texts")
+            found.append(scratch.keep(_verified(pairs, texts, shingle, similarity, share(spark, n)), "links"))
+            scratch.drop(texts)
+        scratch.drop(pairs)
+
     filed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     limit = share(spark, BANDS * nodes.count())
     shared = filed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("size", F.col("n"))
     members = scratch.keep(attach(filed, shared, ["band", "key"], limit, F.col("node")), "members")
     many = members.count()
     if not many:
-        return None
+        if more is not None:
+            read(more)
+        return _all(found) if found else None
     limit, pop = share(spark, many), members.groupBy("node").agg(F.sum("size").alias("pop"))
     grouped = scratch.keep(members.join(pop, "node").select("band", "key", "node", F.col("node").alias("c"), "pop", F.lit(None).cast("long").alias("last")), "grouped")
     scratch.drop(members)
-    found: list[DataFrame] = []
-    for _ in range(ROUNDS):
-        pairs = scratch.keep(_alike(_with_head(grouped, limit).distinct(), nodes, similarity - SLACK), "pairs")
-        if n := pairs.count():
-            texts = scratch.keep(texts_of(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()), "texts")
-            found.append(scratch.keep(_verified(pairs, texts, shingle, similarity, share(spark, n)), "links"))
-            scratch.drop(texts)
-        scratch.drop(pairs)
+    for again in range(ROUNDS):
+        pairs = _alike(_with_head(grouped, limit).distinct(), nodes, similarity - SLACK)
+        read(pairs if again or more is None else pairs.union(more).distinct())
         if found:
             roots = components(_all(found), scratch).withColumnRenamed("root", "root_")
             joined = grouped.drop("c", "last").join(roots, "node", "left").withColumn("c", F.coalesce("root_", "node"))
@@ -302,15 +326,15 @@ def one_of_group(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
     scratch = Scratch(docs.sparkSession)
     marked = scratch.keep(_marked(docs, shingle), "marked")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
-    nodes = marked.groupBy("digest").agg(F.min(order).alias("first"), F.first("bands").alias("bands"))
-    nodes = scratch.keep(nodes.select(F.monotonically_increasing_id().alias("node"), "first", "bands"), "nodes")  # written, so that a node keeps its number
+    nodes = marked.groupBy("digest").agg(F.min(order).alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    nodes = scratch.keep(nodes.select(F.monotonically_increasing_id().alias("node"), "first", "fp", "bands"), "nodes")  # written, so that a node keeps its number
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         asked = nodes.join(wanted, "node").select("node", F.col("first.doc_id").alias("id_"), F.col("first.key").alias("key"))
         found = _keyed(docs.select("doc_id", "text")).join(asked, "key").where(F.col("doc_id").eqNullSafe(F.col("id_")))
         return found.select("node", F.col("text").cast("binary").alias("text")).dropDuplicates(["node"])
 
-    linked, chosen = links(nodes.select("node", "bands"), texts_of, scratch, shingle, similarity), nodes
+    linked, chosen = links(nodes.select("node", "bands"), texts_of, scratch, shingle, similarity, by_simhash(nodes.select("node", "fp"), scratch)), nodes
     if linked is not None:
         roots = components(linked, scratch)
         placed = nodes.select("node", "first").join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))

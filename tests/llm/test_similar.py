@@ -124,3 +124,31 @@ def test_run_with_null_and_repeated_ids(spark, tmp_path):
     want, _ = brute_kept(rows)
     pieces = [(r.doc_id is None, r.doc_id or 0) for r in found if r.start == 0]
     assert sorted(pieces) == want
+
+
+def test_pairs_by_simhash_are_verified(spark):
+    """With minima that meet nowhere SimHash alone finds the copy with one other word in a long text; a pair that is not similar is no link."""
+    from paperloom.llm import simhash
+    from paperloom.llm.shared import Scratch
+
+    words = [f"w{k * k}" for k in range(900)]
+    said = {4: words, 5: [*words[:-1], "x"], 6: words[::-1]}
+    fps = {i: simhash.fingerprint(" ".join(w).encode(), similar.SHINGLE) for i, w in said.items()}
+    fps[6] = fps[4]  # as if their SimHashes met
+    assert (fps[4] ^ fps[5]).bit_count() <= 2
+    nodes = spark.createDataFrame([(i, fp - (1 << 64) if fp >> 63 else fp, [100 * i + k for k in range(similar.BANDS)]) for i, fp in fps.items()], "node long, fp long, bands array<long>")
+    texts = spark.createDataFrame([(i, " ".join(w).encode()) for i, w in said.items()], "node long, text binary")
+    scratch = Scratch(spark)
+    pairs = similar.by_simhash(nodes.select("node", "fp"), scratch)
+    assert sorted(tuple(sorted(r)) for r in pairs.collect()) == [(4, 5), (4, 6)]
+    found = similar.links(nodes.select("node", "bands"), lambda wanted: texts.join(wanted, "node"), scratch, more=pairs)
+    assert [tuple(sorted(r)) for r in found.collect()] == [(4, 5)]
+
+
+def test_the_stage_takes_pairs_by_simhash(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(similar, "by_simhash", lambda *a, way=similar.by_simhash: asked.append(way(*a)) or asked[-1])
+    rows = [(1, "a b c d e f g h"), (2, "A b c d e f g  h"), (3, "other words")]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_group(spark, table, "").collect()) == [1, 3]
+    assert len(asked) == 1
