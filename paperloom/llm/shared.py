@@ -40,11 +40,13 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs no lineage.
 
-    They are Parquet, and are removed by :meth:`drop` or when the driver ends.
+    They are Parquet, and are removed by :meth:`drop` or when the driver ends.  With ``collect``
+    the driver collects its garbage after each table: until then it holds the plans, task reports
+    and broadcast rows of finished jobs, as much as its heap takes.
     """
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, collect: bool = False):
+        self.spark, self.collect = spark, collect
         self.root = f"{shared_dir(spark).rstrip('/')}/paperloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
         atexit.register(self._remove, self.root)
 
@@ -58,6 +60,9 @@ class Scratch:
         """Write ``df`` and return a reader of what was written."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)
+        if self.collect:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._paperloom_path = path
         return out

@@ -323,7 +323,7 @@ def one_of_group(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
     that is like no other stays, also if its doc_id is null or that of another row.  Null
     texts and texts without words are one group.  An empty table gives an empty result.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, collect=True)
     marked = scratch.keep(_marked(docs, shingle), "marked")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
     nodes = marked.groupBy("digest").agg(F.min(order).alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))

@@ -152,3 +152,16 @@ def test_the_stage_takes_pairs_by_simhash(spark, monkeypatch):
     table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
     assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_group(spark, table, "").collect()) == [1, 3]
     assert len(asked) == 1
+
+
+def test_the_stage_has_the_driver_collect_after_each_table(spark, monkeypatch):
+    from paperloom.llm import shared
+
+    calls, made = [], []
+    monkeypatch.setattr(shared.gc, "collect", lambda: calls.append(1))
+    monkeypatch.setattr(similar, "Scratch", lambda *a, **k: made.append(shared.Scratch(*a, **k)) or made[-1])
+    similar.one_of_group(spark.createDataFrame([], DOCS))
+    assert made[0].collect and calls
+    calls.clear()
+    shared.Scratch(spark).keep(spark.range(3), "small")
+    assert not calls
