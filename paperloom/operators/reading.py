@@ -8,15 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-# Parts of the font size.
-#: A baseline this far off begins a line; a gap this wide is a space.
-LINE_STEP, WORD_GAP = 0.5, 0.2
-#: White space this wide parts columns; this high, blocks of one column.
-COLUMN_GAP, BLOCK_GAP = 0.7, 1.5
-#: Most ends of line between two rows of a page.
-MOST_ENDS = 5
-#: Points by which a word may stick out of its link.
-LINK_SLACK = 2.0
+from paperloom.kernel.pages import LINE_STEP, LINK_SLACK, MOST_ENDS, WORD_GAP, blocks, in_blocks  # noqa: F401
 
 PAGE = ("doc_id", "page_num")
 
@@ -64,31 +56,6 @@ def physical_texts(words: DataFrame) -> DataFrame:
     return _joined(lines.withColumn("_ends", F.when(F.col("row") > 0, F.repeat(F.lit("\n"), ends)).otherwise("")), "row", F.col("_ends"))
 
 
-def _parts(low: np.ndarray, high: np.ndarray, gap: float) -> list[np.ndarray]:
-    """Positions parted where no interval reaches over more than ``gap``, in order."""
-    order = np.argsort(low, kind="stable")
-    reach = np.maximum.accumulate(high[order])
-    return np.split(order, np.flatnonzero(low[order][1:] - reach[:-1] > gap) + 1)
-
-
-def blocks(x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
-    """Blocks of a page in reading order, by cutting at white space: across where columns lie side by side, else down."""
-    found, left = [], [np.arange(len(x0))]
-    while left:
-        at = left.pop()
-        font = float(np.median(size[at])) if len(at) else 1.0
-        parts = _parts(x0[at], x1[at], COLUMN_GAP * font)
-        if len(parts) > 1 and len(_parts(y0[at], y1[at], 0.0)) == 1 and len(np.unique(np.round(y1[at], 1))) == 1:
-            parts = [np.arange(len(at))]  # words of one line are no columns
-        if len(parts) == 1:
-            parts = _parts(y0[at], y1[at], BLOCK_GAP * font)
-        if len(parts) == 1:
-            found.append(at)
-        else:
-            left.extend(at[p] for p in reversed(parts))
-    return found
-
-
 def in_reading_order(words: DataFrame) -> DataFrame:
     """``words`` and ``block`` (from 0 on each page), ``block_line`` (from 0 in each block) and ``place`` (from 0 on each page).
 
@@ -100,14 +67,8 @@ def in_reading_order(words: DataFrame) -> DataFrame:
         page, base, size, *box = (table.column(c).to_numpy() for c in ("page_num", "base", "size", "x_min", "x_max", "y_min", "y_max"))
         block, line, place = (np.zeros(len(page), np.int32) for _ in range(3))
         for number in np.unique(page):
-            on, n = np.flatnonzero(page == number), 0
-            for k, part in enumerate(blocks(*(b[on] for b in box), size[on])):
-                own = on[part]
-                down = own[np.argsort(base[own], kind="stable")]
-                rows = np.concatenate([[0], np.cumsum(np.diff(base[down]) >= LINE_STEP * size[down][1:])])
-                order = np.lexsort((box[0][down], rows))
-                block[down], line[down], place[down[order]] = k, rows, n + np.arange(len(down))
-                n += len(down)
+            on = np.flatnonzero(page == number)
+            block[on], line[on], place[on] = in_blocks(base[on], size[on], *(b[on] for b in box))
         for name, column in (("block", block), ("block_line", line), ("place", place)):
             table = table.append_column(name, pa.array(column))
         return table

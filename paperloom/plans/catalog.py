@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import scalars as S
 from paperloom.operators import labels, layout, search
-from paperloom.sources import catalog, pdf
+from paperloom.kernel import pages as page
+from paperloom.sources import catalog, pages, pdf
 
 from .registry import ORACLES, QUERIES, WORDS, pdfs, query, table
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import calculators as C
 from paperloom.functions import scalars as S
 from paperloom.kernel import filters
-from paperloom.sources import pdf
+from paperloom.sources import pages, pdf
 
 from .registry import ORACLES, QUERIES, WORDS, pdfs, query, table
 

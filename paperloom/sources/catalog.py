@@ -56,6 +56,17 @@ def label_table(pdfs: DataFrame) -> DataFrame:
     return _table(pdfs, "base int, length int, style string, prefix string, first int", catalog.labels)
 
 
+def page_range_table(pdfs: DataFrame) -> DataFrame:
+    """Every page with the range of labels that holds it, or nulls."""
+
+    def found(doc: Document):
+        ranges = list(catalog.labels(doc))
+        for i, _ in enumerate(doc.pages()):
+            yield from ({"page_num": i, **x} for x in [x for x in ranges if x["base"] <= i < x["base"] + x["length"]] or [{}])
+
+    return _table(pdfs, "page_num int, base int, length int, style string, prefix string, first int", found)
+
+
 def structure_table(pdfs: DataFrame) -> DataFrame:
     return _table(pdfs, "node_id int, parent_id int, depth int, type string, title string, lang string, alt string, actual_text string", catalog.structure)
 
