@@ -120,10 +120,9 @@ def incremental_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _encrypted(name: str, method: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        sealed = pdf.protected(table(spark, sf_dir, "documents"), method, b"reader", b"owner").withColumn("password", F.lit(b"reader"))
-        words = pdf.word_table(sealed).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.sum(F.length("text")).alias("n_letters"))
-        facts = pdf.info_table(sealed).select("doc_id", "encrypted", F.col("info.Title").alias("title"))
-        return facts.join(words, "doc_id", "left").select("doc_id", "encrypted", "title", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("n_letters", F.lit(0)).alias("n_letters"))
+        docs = table(spark, sf_dir, "documents").withColumn("password", F.lit(b"reader"))
+        found = pdf.count_table(pdf.protected(docs, method, b"reader", b"owner", "password"))
+        return found.select("doc_id", "encrypted", "title", *(F.when(F.col("doc_id").isNull(), 0).otherwise(F.col(c)).alias(c) for c in ("n_words", "n_letters")))
 
     QUERIES[name] = run
     ORACLES[name] = WORDS + "SELECT d.doc_id, true AS encrypted, 'doc-' || d.doc_id AS title, count(p.w) AS n_words, CAST(coalesce(sum(length(p.text)), 0) AS BIGINT) AS n_letters FROM documents d LEFT JOIN placed p ON d.doc_id = p.doc_id GROUP BY d.doc_id"

@@ -7,6 +7,7 @@ import __spark_entry__ as e
 #: Python steps and joins or groupings by shuffle of a query's plan.
 PLANS = {
     "bbox_layout": (1, 0),
+    "encrypted_aes": (1, 0),
 }
 
 
