@@ -8,6 +8,7 @@ import __spark_entry__ as e
 PLANS = {
     "bbox_layout": (1, 0),
     "encrypted_aes": (1, 0),
+    "encrypted_rc4": (1, 0),
 }
 
 
