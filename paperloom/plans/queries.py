@@ -44,9 +44,7 @@ def page_ink_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(WORDS + "SELECT doc_id, page_num, string_agg(text, CASE WHEN w % 8 = 0 THEN chr(10) ELSE ' ' END ORDER BY w) AS text FROM placed GROUP BY doc_id, page_num".replace("string_agg(text, CASE WHEN w % 8 = 0 THEN chr(10) ELSE ' ' END ORDER BY w)", "ltrim(string_agg(CASE WHEN w % 8 = 0 THEN chr(10) ELSE ' ' END || text, '' ORDER BY w), chr(10))"))
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from paperloom.operators.layout import lines, page_texts
-
-    return page_texts(lines(pdf.word_table(pdfs(spark, sf_dir))))
+    return pages.text_table(pdfs(spark, sf_dir))
 
 
 @query(WORDS + "SELECT d.doc_id, greatest(1, coalesce(max(page_num) + 1, 1)) AS n_pages FROM documents d LEFT JOIN placed p ON d.doc_id = p.doc_id GROUP BY d.doc_id")

@@ -10,6 +10,7 @@ PLANS = {
     "encrypted_aes": (1, 0),
     "encrypted_rc4": (1, 0),
     "link_words": (1, 0),
+    "page_text": (1, 0),
 }
 
 
