@@ -90,7 +90,8 @@ def _search(name: str, sql: str, ignore_case: bool, whole: bool) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from paperloom.operators.search import search
 
-        hits = search(pdf.word_table(pdfs(spark, sf_dir)), NEEDLES, ignore_case=ignore_case, whole_words=whole)
+        held = pages.found_words(pdfs(spark, sf_dir), str.lower, [n.lower() for n in NEEDLES])
+        hits = search(held, NEEDLES, ignore_case=ignore_case, whole_words=whole)
         return hits.groupBy("needle").agg(F.count(F.lit(1)).alias("n_words"), F.countDistinct("doc_id").alias("n_docs"))
 
     QUERIES[name], ORACLES[name] = run, WORDS + f"SELECT needle, count(*) AS n_words, count(DISTINCT doc_id) AS n_docs FROM placed, {_NEEDLE_SQL} WHERE {sql} GROUP BY needle"

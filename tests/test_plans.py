@@ -13,6 +13,7 @@ PLANS = {
     "page_text": (1, 0),
     "physical_layout_text": (1, 0),
     "reading_order_text": (1, 0),
+    "search_ignore_diacritics": (1, 2),
 }
 
 
