@@ -219,5 +219,4 @@ def dup_text_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
 x AS (SELECT doc_id, page_num, string_agg(printf('    <word xMin="%.6f" yMin="%.6f" xMax="%.6f" yMax="%.6f">%s</word>', x_min :: DOUBLE, base - 8.0 :: DOUBLE, x_max :: DOUBLE, base + 2.0 :: DOUBLE, text) || chr(10), '' ORDER BY w) AS body FROM e GROUP BY doc_id, page_num)
 SELECT i.doc_id, i.k AS page_num, md5('  <page width="612.000000" height="792.000000">' || chr(10) || coalesce(body, '') || '  </page>' || chr(10)) AS xhtml FROM i LEFT JOIN x ON i.doc_id = x.doc_id AND i.k = x.page_num""")
 def bbox_xhtml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = pdfs(spark, sf_dir)
-    return layout.bbox_pages(pdf.word_table(made), pdf.page_table(made)).select("doc_id", "page_num", F.md5(F.col("xhtml").cast("binary")).alias("xhtml"))
+    return pages.markup_table(pdfs(spark, sf_dir), page.bbox_page).select("doc_id", "page_num", F.md5(F.col("xhtml").cast("binary")).alias("xhtml"))

@@ -16,6 +16,7 @@ PLANS = {
     "search_ignore_diacritics": (1, 2),
     "word_tsv": (1, 0),
     "xml_pages": (1, 0),
+    "bbox_xhtml": (1, 0),
 }
 
 
