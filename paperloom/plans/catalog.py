@@ -204,7 +204,7 @@ def select_area_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_TEXTS + "SELECT doc_id, page_num, md5(replace(text, '-' || chr(10), '')) AS joined FROM pages_")
 def dehyphenate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = layout.page_texts(layout.lines(pdf.word_table(pdfs(spark, sf_dir))))
+    texts = pages.text_table(pdfs(spark, sf_dir))
     return texts.select("doc_id", "page_num", F.md5(layout.dehyphenated(F.col("text"), "all").cast("binary")).alias("joined"))
 
 

@@ -17,6 +17,7 @@ PLANS = {
     "word_tsv": (1, 0),
     "xml_pages": (1, 0),
     "bbox_xhtml": (1, 0),
+    "dehyphenate_all": (1, 0),
 }
 
 
