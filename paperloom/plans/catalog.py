@@ -68,8 +68,7 @@ def label_interval_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rich = _rich(spark, sf_dir)
-    return labels.page_labels(pdf.page_table(rich).select("doc_id", "page_num"), catalog.label_table(rich))
+    return labels.spelt(catalog.page_range_table(_rich(spark, sf_dir)))
 
 
 @query(PAGES + "SELECT doc_id, k AS page_num, CASE k WHEN 0 THEN 'i' WHEN 1 THEN 'ii' ELSE 'A-' || (k + 3) END AS label FROM i")

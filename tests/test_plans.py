@@ -20,6 +20,7 @@ PLANS = {
     "dehyphenate_all": (1, 0),
     "form_reset": (1, 0),
     "attach_detach": (1, 0),
+    "label_to_index": (1, 1),
 }
 
 
