@@ -22,6 +22,7 @@ PLANS = {
     "attach_detach": (1, 0),
     "label_to_index": (1, 1),
     "annotation_edit": (1, 0),
+    "form_fill": (1, 0),
 }
 
 
