@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -43,3 +44,15 @@ def test_synthesis_damage_and_pages():
     parts = _text(doc)
     assert _text(Document(assemble([(doc, [1]), (doc, [0])]))) == [parts[1], parts[0]]
     assert not Document(b"no document").ok
+
+
+def test_lzw_takes_little_more_than_a_look_at_each_byte():
+    raw = " ".join(f"word{i * i}" for i in range(40_000)).encode()
+
+    def took(f):
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    plain = min(took(lambda: [c + 1 for c in raw]) for _ in range(3))
+    assert min(took(lambda: filters.lzw_decode(filters.lzw_encode(raw))) for _ in range(3)) < 30 * plain
