@@ -23,6 +23,7 @@ PLANS = {
     "label_to_index": (1, 1),
     "annotation_edit": (1, 0),
     "form_fill": (1, 0),
+    "link_targets": (1, 0),
 }
 
 
