@@ -104,9 +104,7 @@ def content_op_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(PAGES + "SELECT doc_id // 2 AS key, CAST(sum(n) AS BIGINT) AS n_pages, CAST(sum(n_words) AS BIGINT) AS n_words FROM n GROUP BY 1")
 def merge_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = pdf.merge_docs(pdfs(spark, sf_dir).withColumn("key", F.floor(F.col("doc_id") / 2)), "key", "doc_id").withColumnRenamed("key", "doc_id")
-    words = pdf.word_table(merged).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"))
-    pages = pdf.info_table(merged).select("doc_id", F.col("n_pages").cast("long").alias("n_pages"))
-    return pages.join(words, "doc_id", "left").select(F.col("doc_id").alias("key"), "n_pages", F.coalesce("n_words", F.lit(0)).alias("n_words"))
+    return pdf.count_table(merged).select(F.col("doc_id").alias("key"), "n_pages", "n_words")
 
 
 @query("SELECT doc_id, 'new-' || doc_id AS title, coalesce(lang, '') AS keywords, coalesce(source, '') AS author, true AS removed, false AS rebuilt FROM documents")

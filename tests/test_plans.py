@@ -24,6 +24,7 @@ PLANS = {
     "annotation_edit": (1, 0),
     "form_fill": (1, 0),
     "link_targets": (1, 0),
+    "merge_docs": (3, 1),
 }
 
 
