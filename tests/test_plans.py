@@ -25,6 +25,7 @@ PLANS = {
     "form_fill": (1, 0),
     "link_targets": (1, 0),
     "merge_docs": (3, 1),
+    "url_list": (1, 0),
 }
 
 
