@@ -76,10 +76,8 @@ def object_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(WORDS + "SELECT doc_id, page_num, count(*) AS n_words, min_by(text, w) AS first_word FROM placed GROUP BY doc_id, page_num")
 def split_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = pdf.split_pages(pdfs(spark, sf_dir)).withColumn("doc_id", F.struct("doc_id", "page_num"))
-    words = pdf.word_table(parts.select(F.to_json("doc_id").alias("key"), F.xxhash64(F.to_json("doc_id")).alias("doc_id"), "bytes")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.min_by("text", "word_num").alias("first_word"))
-    keys = pdf.page_table(pdfs(spark, sf_dir)).select("doc_id", "page_num").withColumn("key", F.xxhash64(F.to_json(F.struct("doc_id", "page_num"))))
-    return words.withColumnRenamed("doc_id", "key").join(keys, "key").select("doc_id", "page_num", "n_words", "first_word")
+    parts = pages.part_table(pdf.split_pages(pdfs(spark, sf_dir)))
+    return parts.groupBy("doc_id", "page_num").agg(F.sum("n_words").alias("n_words"), F.first("first_word").alias("first_word"))
 
 
 NEEDLES = ["the", "Ing", "über", "éa", "ñ"]

@@ -27,6 +27,7 @@ PLANS = {
     "merge_docs": (3, 1),
     "url_list": (1, 0),
     "marked_lines": (1, 0),
+    "split_pages": (2, 1),
 }
 
 
