@@ -28,6 +28,7 @@ PLANS = {
     "url_list": (1, 0),
     "marked_lines": (1, 0),
     "split_pages": (2, 1),
+    "font_list": (1, 0),
 }
 
 
