@@ -29,6 +29,7 @@ PLANS = {
     "marked_lines": (1, 0),
     "split_pages": (2, 1),
     "font_list": (1, 0),
+    "form_fields": (1, 0),
 }
 
 
