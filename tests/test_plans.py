@@ -33,6 +33,7 @@ PLANS = {
     "dehyphenate_soft": (1, 0),
     "raw_text": (1, 0),
     "font_differences": (1, 0),
+    "search_across_lines": (1, 2),
 }
 
 
