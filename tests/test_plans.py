@@ -34,6 +34,7 @@ PLANS = {
     "raw_text": (1, 0),
     "font_differences": (1, 0),
     "search_across_lines": (1, 2),
+    "label_interval_lengths": (1, 0),
 }
 
 
