@@ -35,6 +35,7 @@ PLANS = {
     "font_differences": (1, 0),
     "search_across_lines": (1, 2),
     "label_interval_lengths": (1, 0),
+    "font_macromanencoding": (1, 0),
 }
 
 
