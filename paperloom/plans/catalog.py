@@ -172,7 +172,7 @@ NEEDLES = ["informacion", "uber", "ano", "the", "ñ"]
 
 @query(WORDS + " UNION ALL ".join(f"SELECT '{n}' AS needle, count(*) AS n_words, count(DISTINCT doc_id) AS n_docs FROM placed WHERE contains({'strip_accents(lower(text))' if n.isascii() else 'lower(text)'}, '{n}') HAVING count(*) > 0" for n in NEEDLES))
 def search_ignore_diacritics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = pages.found_words(pdfs(spark, sf_dir), search.folded, [search.folded(n) for n in NEEDLES])
+    held = pages.found_words(pdfs(spark, sf_dir), search.folded, [search.folded(n) for n in NEEDLES], search.bare)
     hits = search.search(held, NEEDLES, ignore_case=True, ignore_diacritics=True)
     return hits.groupBy("needle").agg(F.count(F.lit(1)).alias("n_words"), F.countDistinct("doc_id").alias("n_docs"))
 

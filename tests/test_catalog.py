@@ -102,6 +102,10 @@ def test_search_flags(spark):
 
     assert [n("ciguena"), n("ciguena", ignore_diacritics=True), n("Ciguena", ignore_diacritics=True), n("cigüena", ignore_diacritics=True), n("cigüeña", ignore_diacritics=True)] == [0, 1, 0, 0, 1]
     assert [n("brown"), n("brown", ignore_case=True), n("own", whole_words=True), n("")] == [1, 2, 0, 0]
+    strange = "Éclair ÅNGSTRÖM ǆ e\u0301 straße \u1e9b\u0323 plain"
+    assert search.bare(strange) == words.limit(1).select(search.without_diacritics(F.lit(strange))).first()[0]
+    stripped = words.withColumn("bare", F.lit("ciguena"))
+    assert search.search(stripped, ["ciguena"], ignore_diacritics=True).count() == 3
     first = search.first_matches(search.search(words, ["brown"], ignore_case=True)).collect()
     assert [r.word_num for r in first] == [1]
 
